@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .lookalikes import consistent_forms, same_looking_pairs
+from .neighbours import similar_pairs, similar_vectors
 from .packing import pack
 from .percentiles import bisect, combine, daily_counts
 from .tokens import decode, encode, token_counts
@@ -59,7 +61,31 @@ def p7_waste(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_pairs(table(spark, sf_dir, "chunks"))
+
+
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbours themselves, with the path of each."""
+    chunks = table(spark, sf_dir, "chunks")
+    paths = chunks.groupBy(F.col("chunk_id").alias("other")).agg(F.min("path").alias("path"))
+    return similar_vectors(chunks).join(paths, "other").select(F.col("id").alias("chunk_id"), F.col("other").alias("near_chunk_id"), F.col("path").alias("near_path"), F.round("cosine", 6).alias("cosine"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_looking_pairs(table(spark, sf_dir, "documents"))
+
+
+def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every visible text in its consistent form."""
+    return consistent_forms(table(spark, sf_dir, "documents"), with_text=True).select("doc_id", "form")
+
+
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_neighbours": p2_neighbours,
+    "p8_found": p8_found,
+    "p8_forms": p8_forms,
     "p3_percentiles": p3_percentiles,
     "p3_daily": p3_daily,
     "p6_ids": p6_ids,
