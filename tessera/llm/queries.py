@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.content import current_content
 from ..session import table
+from .credentials import credentials, redacted
 from .lookalikes import consistent_forms, same_looking_pairs
 from .neighbours import similar_pairs, similar_vectors
 from .packing import pack
@@ -81,7 +83,29 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistent_forms(table(spark, sf_dir, "documents"), with_text=True).select("doc_id", "form")
 
 
+def _current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return current_content(table(spark, sf_dir, "files"), table(spark, sf_dir, "search_docs"))
+
+
+def p5_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every credential with its place in the line and its score."""
+    files, docs = table(spark, sf_dir, "files"), table(spark, sf_dir, "search_docs")
+    return credentials(files, docs, _current(spark, sf_dir))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_places(spark, sf_dir).select("file_id", "line_no").distinct()
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every current content with its credentials blanked."""
+    return redacted(_current(spark, sf_dir), p5_places(spark, sf_dir))
+
+
 QUERIES = {
+    "p5_found": p5_found,
+    "p5_places": p5_places,
+    "p5_redacted": p5_redacted,
     "p2_found": p2_found,
     "p2_neighbours": p2_neighbours,
     "p8_found": p8_found,
