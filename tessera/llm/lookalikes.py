@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 # Letters of the same shape as the letter of the basic Latin alphabet beside
 # them, from the Cyrillic, Greek, Armenian, Cherokee, Lisu and number-form blocks.
 TWINS = {
@@ -280,7 +282,8 @@ def same_looking_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     Only forms with at least two different strings are joined; exact copies are no pairs.
     """
-    forms = consistent_forms(docs, doc_id, text).where(F.col("doc_id").isNotNull()).distinct()
+    # written once: it is read three times, and is small beside the texts
+    forms = written(consistent_forms(docs, doc_id, text).where(F.col("doc_id").isNotNull()), "text-forms").distinct()
     several = forms.groupBy("form_key").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).where("low <> high").select("form_key")
     kept = forms.join(several, "form_key", "left_semi")
     a, b = kept.alias("a"), kept.alias("b")
