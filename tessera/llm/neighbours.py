@@ -4,7 +4,9 @@ The upper cells of the tree are fitted on a bounded sample on the driver, the le
 cell in Spark on a share of all vectors, and every vector is indexed in one leaf. A query goes
 down the tree best bin first: a priority queue holds cells and leaves by the similarity of
 their centres. The number of leaves visited is widened until a set of sample queries, compared
-with brute force over all rows, reaches the recall asked for.
+with brute force over all rows, reaches the recall asked for: a query takes every leaf whose
+centre is at most a calibrated margin less similar than the best, so one in the middle of a
+leaf visits that alone and one at an edge visits several.
 """
 
 from __future__ import annotations
@@ -22,17 +24,19 @@ from pyspark.sql import functions as F
 from ..session import written
 
 #: Vectors of a leaf on average.
-LEAF_ROWS = 256
+LEAF_ROWS = 1024
 #: Sampled vectors per leaf that its cell is fitted on.
-LEAF_SAMPLE = 24
+LEAF_SAMPLE = 64
 #: Vectors the upper cells are fitted on, at most (a bounded sample, chosen by hash).
-TOP_SAMPLE = 16_384
+TOP_SAMPLE = 8_192
 #: Centres in the whole tree, at most: it is sent to every executor (96 floats each, 58 MB).
 MAX_LEAVES = 150_000
-#: Sample queries for which brute force is run to calibrate the number of leaves visited.
-CALIBRATION_QUERIES = 256
+#: Sample queries for which brute force is run to calibrate the margin.
+CALIBRATION_QUERIES = 512
+#: Cells a query opens at least, before its queue is followed.
+OPEN_CELLS = 4
 #: Leaves visited at most.
-MAX_VISITS = 12
+MAX_VISITS = 64
 
 
 def unit_rows(buffers: list[bytes]) -> np.ndarray:
@@ -67,24 +71,33 @@ class Tree:
     leaves: list[np.ndarray]
     first: list[int]
 
-    def visits(self, x: np.ndarray, most: int) -> list[list[int]]:
-        """The leaves of each row in the order a best-bin-first search visits them."""
+    def visits(self, x: np.ndarray, margin: float, most: int = MAX_VISITS) -> list[list[tuple[int, float]]]:
+        """Per row the leaves (number, how much less similar than the best) that a best-bin-first search visits within ``margin``."""
         out = []
         for sims, q in zip(x @ self.cells.T, x, strict=True):
-            queue = [(-s, -1, c) for c, s in enumerate(sims.tolist())]
+            cells = np.argsort(-sims, kind="stable").tolist()
+            queue: list[tuple[float, int]] = []  # a cell c stands as -1 - c
+
+            def open_cell(c: int, q: np.ndarray = q, queue: list = queue) -> None:
+                first = self.first[c]
+                queue.extend((-s, first + i) for i, s in enumerate((self.leaves[c] @ q).tolist()))
+
+            for c in cells[:OPEN_CELLS]:
+                open_cell(c)
+            queue += [(-float(sims[c]), -1 - c) for c in cells[OPEN_CELLS:]]
             heapq.heapify(queue)
-            seen: list[int] = []
+            seen: list[tuple[int, float]] = []
+            best = 0.0
             while queue and len(seen) < most:
-                _, cell, at = heapq.heappop(queue)
-                if cell >= 0:
-                    seen.append(at)
+                away, at = heapq.heappop(queue)
+                if seen and away - best > margin:
+                    break
+                if at < 0:
+                    open_cell(-1 - at)
+                    heapq.heapify(queue)
                     continue
-                first = self.first[at]
-                near = self.leaves[at] @ q
-                # only the best leaves of a cell can be among the visits that are left
-                best = range(len(near)) if len(near) <= most else np.argpartition(-near, most)[:most].tolist()
-                for i in best:
-                    heapq.heappush(queue, (-float(near[i]), at, first + i))
+                best = best if seen else away
+                seen.append((at, away - best))
             out.append(seen)
         return out
 
@@ -106,15 +119,19 @@ def _buffers(column: pa.Array) -> list[bytes]:
     return [raw[i * width : (i + 1) * width] for i in range(n)]
 
 
-def fit_tree(usable: DataFrame, leaf_rows: int = LEAF_ROWS) -> Tree:
-    """Upper cells from a bounded sample, leaves of each cell by Spark, centres back to the driver (at most MAX_LEAVES)."""
+def fit_tree(usable: DataFrame, leaf_rows: int = LEAF_ROWS) -> tuple[Tree, np.ndarray]:
+    """The tree and some sampled vectors to calibrate it with.
+
+    Upper cells come from a bounded sample on the driver, the leaves of each cell from a share of
+    all vectors in Spark; only centres (at most MAX_LEAVES) come back to the driver.
+    """
     total = usable.count()
     leaves = max(1, min(MAX_LEAVES, total // leaf_rows))
     share = min(1.0, leaves * LEAF_SAMPLE / max(1, total))
     sample = written(usable.where(F.pmod(F.col("k2"), F.lit(1_000_003)) <= int(share * 1_000_003)).select("k1", "k2", "vec"), "vector-sample")
     rows = sample.dropDuplicates(["k1", "k2"]).orderBy("k1", "k2").limit(TOP_SAMPLE).select("vec").toPandas()
     if rows.empty:
-        return Tree(np.zeros((1, 1)), [np.zeros((1, 1))], [0])
+        return Tree(np.zeros((1, 1)), [np.zeros((1, 1))], [0]), np.zeros((0, 1))
     top = unit_rows([np.asarray(v, dtype=np.float32).tobytes() for v in rows["vec"]])
     cells = kmeans(top, max(1, round(leaves**0.5)))
     shared = usable.sparkSession.sparkContext.broadcast(cells)
@@ -134,7 +151,7 @@ def fit_tree(usable: DataFrame, leaf_rows: int = LEAF_ROWS) -> Tree:
 
     got = sample.select("vec").mapInArrow(place, "cell int, raw binary").groupBy("cell").applyInPandas(split, "cell int, centre binary").toPandas()
     parts = [unit_rows(list(got.loc[got["cell"] == c, "centre"])) if (got["cell"] == c).any() else cells[c : c + 1] for c in range(len(cells))]
-    return Tree(cells, parts, [0, *np.cumsum([len(p) for p in parts]).tolist()[:-1]])
+    return Tree(cells, parts, [0, *np.cumsum([len(p) for p in parts]).tolist()[:-1]]), top[:: max(1, len(top) // CALIBRATION_QUERIES)][:CALIBRATION_QUERIES]
 
 
 def _best(cos: np.ndarray, ids: list[list[str]], k: int, floor: float) -> list[list[tuple[float, str]]]:
@@ -150,13 +167,11 @@ def _best(cos: np.ndarray, ids: list[list[str]], k: int, floor: float) -> list[l
     return out
 
 
-def calibrated_visits(usable: DataFrame, tree: Tree, k: int, floor: float, recall: float) -> tuple[int, float]:
-    """The fewest leaves with which the sample queries reach ``recall`` against brute force over all rows, and that recall."""
+def calibrated_margin(usable: DataFrame, tree: Tree, queries: np.ndarray, k: int, floor: float, recall: float) -> tuple[float, float]:
+    """The least margin with which ``queries`` reach ``recall`` against brute force over all rows, and that recall."""
+    if not len(queries):
+        return 0.0, 1.0
     sc = usable.sparkSession.sparkContext
-    drawn = usable.select("k1", "k2", "vec").dropDuplicates(["k1", "k2"]).orderBy(F.hash("k1", "k2"), "k1").limit(CALIBRATION_QUERIES).select("vec").toPandas()
-    if drawn.empty:
-        return 1, 1.0
-    queries = unit_rows([np.asarray(v, dtype=np.float32).tobytes() for v in drawn["vec"]])
     shared, the_tree = sc.broadcast(queries), sc.broadcast(tree)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +186,7 @@ def calibrated_visits(usable: DataFrame, tree: Tree, k: int, floor: float, recal
             cos = np.round(shared.value @ x.T, 10)
             q_at, c_at = np.nonzero(cos >= floor)
             hit = np.unique(c_at)
-            homes = {c: home[0] for c, home in zip(hit.tolist(), the_tree.value.visits(x[hit], 1), strict=True)}
+            homes = {c: home[0][0] for c, home in zip(hit.tolist(), the_tree.value.visits(x[hit], 0.0, 1), strict=True)}
             for q, c in zip(q_at.tolist(), c_at.tolist(), strict=True):
                 best[q][ids[c]] = (float(cos[q, c]), homes[c])
             for q in set(q_at.tolist()):
@@ -181,17 +196,17 @@ def calibrated_visits(usable: DataFrame, tree: Tree, k: int, floor: float, recal
         cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int32())], names=["q", "id", "cos", "home"])
 
-    near = usable.select(F.col("id").cast("string").alias("id"), "vec").mapInArrow(scan, "q int, id string, cos double, home int").distinct().toPandas()
+    near = usable.select("id", "vec").mapInArrow(scan, "q int, id string, cos double, home int").distinct().toPandas()
     near = near.sort_values(["q", "cos", "id"], ascending=[True, False, True]).groupby("q").head(k + 1)
+    # a query's own vector is in its first leaf anyway: what counts is the others
+    near = near[near["cos"] < 1.0]
     if near.empty:
-        return 1, 1.0
-    order = tree.visits(queries, MAX_VISITS)
-    at = [order[q].index(h) if h in order[q] else MAX_VISITS for q, h in zip(near["q"], near["home"], strict=True)]
-    for visits in range(1, MAX_VISITS + 1):
-        got = float(np.mean([a < visits for a in at]))
-        if got >= recall:
-            break
-    return visits, got
+        return 0.0, 1.0
+    away = [dict(order) for order in tree.visits(queries, 2.0)]
+    need = np.sort([away[q].get(h, np.inf) for q, h in zip(near["q"], near["home"], strict=True)])
+    at = min(len(need) - 1, int(np.ceil(recall * len(need))) - 1)
+    margin = float(need[at]) if np.isfinite(need[at]) else 2.0
+    return margin, float(np.mean(need <= margin))
 
 
 def similar_vectors(df: DataFrame, key: str = "chunk_id", vector: str = "vector", dims: int = 96, k: int = 5, floor: float = 0.80, recall: float = 0.98, leaf_rows: int = LEAF_ROWS) -> DataFrame:
@@ -209,8 +224,8 @@ def similar_vectors(df: DataFrame, key: str = "chunk_id", vector: str = "vector"
     for each of them and gets the best of both; a null id is left out; no rows in, no rows out.
     """
     usable = usable_vectors(df, key, vector, dims).select(F.col("id").cast("string").alias("id"), "k1", "k2", "vec")
-    tree = fit_tree(usable, leaf_rows)
-    visits, _ = calibrated_visits(usable, tree, k, floor, recall)
+    tree, queries = fit_tree(usable, leaf_rows)
+    margin, _ = calibrated_margin(usable, tree, queries, k, floor, recall)
     shared = df.sparkSession.sparkContext.broadcast(tree)
     keep = k + 1
 
@@ -221,10 +236,10 @@ def similar_vectors(df: DataFrame, key: str = "chunk_id", vector: str = "vector"
             keys = list(held)
             for s in range(0, len(keys), 4096):
                 part = keys[s : s + 4096]
-                order = shared.value.visits(unit_rows([held[p][0] for p in part]), visits)
+                order = shared.value.visits(unit_rows([held[p][0] for p in part]), margin)
                 leaf, k1, k2, ids, raw = [], [], [], [], []
                 for p, seen in zip(part, order, strict=True):
-                    for n, at in enumerate(seen):
+                    for n, (at, _) in enumerate(seen):
                         leaf.append(at)
                         k1.append(p[0])
                         k2.append(p[1])

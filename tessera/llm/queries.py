@@ -12,6 +12,7 @@ from .lookalikes import consistent_forms, same_looking_pairs
 from .neighbours import similar_pairs, similar_vectors
 from .packing import pack
 from .percentiles import bisect, combine, daily_counts
+from .syntax import invalid_files, invalid_rates
 from .tokens import decode, encode, token_counts
 
 RECORD_KEYS = ["session_id", "pid", "sequence"]
@@ -87,6 +88,15 @@ def _current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current_content(table(spark, sf_dir, "files"), table(spark, sf_dir, "search_docs"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return invalid_files(_current(spark, sf_dir))
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates per root and language."""
+    return invalid_rates(_current(spark, sf_dir))
+
+
 def p5_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every credential with its place in the line and its score."""
     files, docs = table(spark, sf_dir, "files"), table(spark, sf_dir, "search_docs")
@@ -103,6 +113,8 @@ def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_rates": p4_rates,
     "p5_found": p5_found,
     "p5_places": p5_places,
     "p5_redacted": p5_redacted,
