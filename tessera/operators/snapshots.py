@@ -15,9 +15,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A row whose key hash is divisible by this begins a chunk; the mean rows of a chunk.
-CHUNK_ROWS = 32
+CHUNK_ROWS = 8
 
-_CHUNK_SCHEMA = "owner string, version long, path string, mark string, d1 long, d2 long"
+#: Snapshots (not entries) up to which the table of neighbouring versions is broadcast.
+BROADCAST_VERSIONS = 500_000
+
+_CHUNK_SCHEMA = "owner string, version long, d1 long, d2 long, paths array<string>, marks array<string>"
 
 
 def _changes_from_previous(column: pa.Array) -> np.ndarray:
@@ -31,14 +34,14 @@ def _changes_from_previous(column: pa.Array) -> np.ndarray:
 
 
 def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drop repeated keys and give every row of a sorted partition the digest of its chunk.
+    """Drop repeated keys and make the rows of a sorted partition into chunks, each one row with its digest.
 
     A chunk goes from one boundary row to the next and never over the end of a snapshot.
     The unfinished chunk at the end of a batch is carried into the next batch.
     """
     held: pa.Table | None = None
 
-    def emit(table: pa.Table, last: bool) -> tuple[pa.Table, pa.Table | None]:
+    def emit(table: pa.Table, last: bool) -> tuple[pa.Table | None, pa.Table | None]:
         table = table.combine_chunks()
         owner, version, path = (table.column(c).combine_chunks() for c in ("owner", "version", "path"))
         snapshot = _changes_from_previous(owner) | _changes_from_previous(version)
@@ -55,28 +58,28 @@ def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             table = table.slice(0, int(starts[-1]))
             starts = starts[:-1]
         if table.num_rows == 0:
-            return table, rest
-        sizes = np.diff(np.append(starts, table.num_rows))
-        digests = []
-        for name in ("h1", "h2"):
-            h = table.column(name).to_numpy().astype(np.uint64)
-            digests.append(np.repeat(np.add.reduceat(h, starts), sizes).astype(np.int64))
-        out = table.select(["owner", "version", "path", "mark"])
-        return out.append_column("d1", pa.array(digests[0])).append_column("d2", pa.array(digests[1])), rest
+            return None, rest
+        offsets = pa.array(np.append(starts, table.num_rows).astype(np.int32))
+        digests = [pa.array(np.add.reduceat(table.column(h).to_numpy().astype(np.uint64), starts).astype(np.int64)) for h in ("h1", "h2")]
+        lists = [pa.ListArray.from_arrays(offsets, table.column(c).combine_chunks()) for c in ("path", "mark")]
+        firsts = table.select(["owner", "version"]).take(pa.array(starts))
+        out = pa.Table.from_arrays([*(c.combine_chunks() for c in firsts.columns), *digests, *lists], names=["owner", "version", "d1", "d2", "paths", "marks"])
+        return out, rest
 
     for batch in batches:
         if batch.num_rows == 0:
             continue
         now = pa.Table.from_batches([batch])
         done, held = emit(pa.concat_tables([held, now]) if held is not None else now, last=False)
-        yield from done.to_batches()
+        if done is not None:
+            yield from done.to_batches()
     if held is not None and held.num_rows:
         done, _ = emit(held, last=True)
         yield from done.to_batches()
 
 
 def chunked_entries(entries: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """``(owner, version, path, mark)`` rows, once per key, with the 128-bit digest of their chunk.
+    """Chunks of ``(owner, version, path, mark)`` rows, once per key: a row per chunk with its 128-bit digest.
 
     The rows are range-partitioned by the whole sort key, so a snapshot of any size is
     spread over tasks. A partition edge may cut a chunk; that only makes it unmatched.
@@ -133,45 +136,24 @@ def snapshot_changes(
             F.lead("version").over(by_owner).alias("after"),
         )
     )
-    rows = chunked_entries(entries, chunk_rows)
+    if versions.limit(BROADCAST_VERSIONS + 1).count() <= BROADCAST_VERSIONS:
+        versions = F.broadcast(versions)
     same = Window.partitionBy("owner", "d1", "d2").orderBy("version")
+    seen_before, seen_after = F.lag("version").over(same), F.lead("version").over(same)
+    # a chunk is needed as the newer side of one step and as the older side of the next
+    steps = F.array(
+        F.struct(F.when(F.col("before").isNotNull() & ~F.col("before").eqNullSafe(seen_before), F.col("version")).alias("version"), F.lit(True).alias("newer")),
+        F.struct(F.when(F.col("after").isNotNull() & ~F.col("after").eqNullSafe(seen_after), F.col("after")).alias("version"), F.lit(False).alias("newer")),
+    )
     unmatched = (
-        rows.select("owner", "version", "d1", "d2")
-        .distinct()
-        .select("*", F.lag("version").over(same).alias("seen_before"), F.lead("version").over(same).alias("seen_after"))
+        chunked_entries(entries, chunk_rows)
         .join(versions, F.col("owner").eqNullSafe(F.col("v_owner")) & (F.col("version") == F.col("v_version")))
-        .select(
-            F.col("owner").alias("u_owner"),
-            F.col("version").alias("u_version"),
-            F.col("d1").alias("u1"),
-            F.col("d2").alias("u2"),
-            F.when(F.col("before").isNotNull() & ~F.col("before").eqNullSafe(F.col("seen_before")), F.col("version")).alias("as_new"),
-            F.when(F.col("after").isNotNull() & ~F.col("after").eqNullSafe(F.col("seen_after")), F.col("after")).alias("as_old"),
-        )
-        .where(F.col("as_new").isNotNull() | F.col("as_old").isNotNull())
+        .select("owner", "paths", "marks", F.filter(steps, lambda x: x["version"].isNotNull()).alias("steps"))
+        .where(F.size("steps") > 0)
     )
     sides = (
-        rows.join(
-            unmatched,
-            F.col("owner").eqNullSafe(F.col("u_owner"))
-            & (F.col("version") == F.col("u_version"))
-            & (F.col("d1") == F.col("u1"))
-            & (F.col("d2") == F.col("u2")),
-        )
-        .select(
-            "owner",
-            "path",
-            F.coalesce("mark", F.lit("\0")).alias("mark"),
-            F.explode(
-                F.filter(
-                    F.array(
-                        F.struct(F.col("as_new").alias("version"), F.lit(True).alias("newer")),
-                        F.struct(F.col("as_old").alias("version"), F.lit(False).alias("newer")),
-                    ),
-                    lambda x: x["version"].isNotNull(),
-                )
-            ).alias("s"),
-        )
+        unmatched.select("owner", "steps", F.explode(F.arrays_zip("paths", "marks")).alias("e"))
+        .select("owner", F.col("e.paths").alias("path"), F.coalesce("e.marks", F.lit("\0")).alias("mark"), F.explode("steps").alias("s"))
         .select("owner", "path", "mark", "s.version", "s.newer")
     )
     paired = sides.groupBy("owner", "version", "path").agg(
