@@ -363,7 +363,7 @@ def _go_rules() -> dict[str, str]:
     block = rf"(?:(?:{case})*{labelled};)*+(?:{case})*(?:{labelled})?"
     element = rf"(?:(?:{expr}|\{{\}}):)?(?:{expr}|\{{\}})"
     fields = rf"(?:(?:i(?:,i)*{kind}|-?i(?:\.i)?(?:\[\])?|i\(\)(?:{kind})?|~?{kind}(?:o~?{kind})*)s?;)*+"
-    item = rf"(?:{expr}e?|(?:i(?:,i)*)?e?{kind}|{kind},{expr}|{spec}|{tspec}|[i.]?s)"
+    item = rf"(?:T|{expr}e?|(?:i(?:,i)*)?e?{kind}|{kind},{expr}|{spec}|{tspec}|[i.]?s)"
     func = rf"D(?:\(\))?i(?:\[\])?\(\)(?:{kind})?(?:\{{\}})?"
     return {
         "": rf"(?:;*Ki;+(?:M(?:[i.]?s|\(\));+)*(?:(?:{func}|{decl});+)*+)?",
@@ -397,7 +397,7 @@ def _rust_rules() -> tuple[dict[str, str], dict[str, str]]:
     lit = r"(?:-?n|s|i)"
     pat_atom = rf"(?:[-m]*(?:{path}(?:!?\(\)|\{{\}})?|n|s)|-*(?:\(\)|\[\])|d|-*m*i@)"
     pat = rf"\|?{pat_atom}(?:(?:\||d|(?<=@)){pat_atom})*d?"
-    closure = r"(?:x*\|(?:[^|;{}LRB=]|\{\})*\|(?:r[iq<>()\[\]\-t]+)?|x*\|\|)"
+    closure = r"(?:x*\|(?:[iq:,<>mtdo\-@]|\(\)|\[\]|\{\})*\|(?:r[iq<>()\[\]\-t]+)?|x*\|\|)"
     head = rf"(?:{path}(?:!i?(?:\(\)|\[\]|\{{\}}))?(?:\{{\}})?|[ns]|\(\)|\[\]|x+\{{\}}|(?:t:)?\{{\}}|(?:t:)?G\{{\}})"
     post = rf"(?:\?|\.(?:i(?:q{gen})?|n)|\(\)|\[\]|a[-mxc]*(?:{path}(?:{gen})?|\(\)|\[\]))"
     unary = rf"(?:[-!m]|d|{closure})*"
@@ -416,7 +416,7 @@ def _rust_rules() -> tuple[dict[str, str], dict[str, str]]:
     vis = r"(?:p(?:\(\))?)?"
     where = r"(?:h(?:[iqtmxND?!\-,:=+o<>drO]|\(\)|\[\])*)?"
     fn = rf"{vis}(?:[xc]s?)*Di(?:{gen})?\(\)(?:r{ty})?{where}(?:\{{\}}|;)"
-    item = rf"{attr}(?:{fn}|{vis}u(?:[iqa*\-,]|\{{\}})+;|{vis}Mi(?:;|\{{\}})|{vis}Ki(?:{gen})?{where}(?:\{{\}}|\(\){where};|;)|{vis}x*N!?(?:{gen})?[^;{{}}]*\{{\}}|{vis}Ti(?:{gen})?(?::{ty})?{where}(?:={ty})?;|{vis}cm?i:{ty}(?:={e1})?;|{vis}xi?i?;|xs?\{{\}}|{path}!i?(?:\{{\}}|(?:\(\)|\[\]);))"
+    item = rf"{attr}(?:{fn}|{vis}u(?:[iqa*\-,]|\{{\}})+;|{vis}Mi(?:;|\{{\}})|{vis}Ki(?:{gen})?{where}(?:\{{\}}|\(\){where};|;)|{vis}x*N!?(?:{gen})?(?:[iqtmxND?!\-,:=+o<>drhcn]|\(\)|\[\])*\{{\}}|{vis}Ti(?:{gen})?(?::{ty})?{where}(?:={ty})?;|{vis}cm?i:{ty}(?:={e1})?;|{vis}xi?i?;|xs?\{{\}}|{path}!i?(?:\{{\}}|(?:\(\)|\[\]);))"
     stmt = rf"(?:;|{attr}{let}|{item}|{attr}Z;?|{attr}x*\{{\}}|{attr}{assign};)"
     block = rf"(?:{stmt})*+(?:{attr}{assign})?"
     field = rf"{attr}{vis}i:{ty}"
@@ -427,11 +427,13 @@ def _rust_rules() -> tuple[dict[str, str], dict[str, str]]:
     uses = r"(?:[iqa*\-,]|\{\})*"
     param = rf"{attr}(?:{pat}:{ty}|-*t?m*i(?::{ty})?|d|{assign}|{ty}|{vis}{ty})"
     loose = rf"(?:{param}(?:,{param})*,?)?"
+    # the patterns and bodies of macros
+    macro = r"(?=[^$]*\$)(?:\$?[iqtns,:;=+\-o<>!?|.dR#AKLDfmxc]|\$?(?:\(\)|\[\]|\{\}))*"
     inside = {
         "": rf"{attr}(?:{item}|;)*+",
-        "(": rf"(?:{loose}|[ix]?i?(?:q?i)*)",
+        "(": rf"(?:{loose}|[ix]?i?(?:q?i)*|{macro})",
         "[": rf"(?:(?:{assign}(?:,{assign})*,?)|{assign};{assign}|{ty};{assign}|{ty}|i(?:qi)*(?:\(\)|=s|=i!\(\))?|{pat}(?:,{pat})*,?)?",
-        "{": rf"(?:{block}|(?:{field}(?:,{field})*,?)?|{init}(?:,{init})*,?|{variant}(?:,{variant})*,?|{arms}|{uses}|(?:{item})*+)",
+        "{": rf"(?:{block}|(?:{field}(?:,{field})*,?)?|{init}(?:,{init})*,?|{variant}(?:,{variant})*,?|{arms}|{uses}|(?:{item})*+|(?:(?:\(\)|\[\]|\{{\}})R(?:\(\)|\[\]|\{{\}});?)*|{macro})",
     }
     return inside, names
 
@@ -439,7 +441,7 @@ def _rust_rules() -> tuple[dict[str, str], dict[str, str]]:
 # ---------------------------------------------------------------------------- C
 
 _C = _simple_lexer(
-    [("skip", r"\s+|//[^\n]*|/\*.*?\*/|\\\r?\n|(?m:^[ \t]*)#(?:[^\n\\]|\\.)*"), ("s", r"(?:u8|[uUL])?\"(?:[^\"\\\n]|\\.)*\"|[uUL]?'(?:[^'\\\n]|\\.)+'"), ("n", _NUMBER + r"[uUlLfF]*"), ("name", _NAME)],
+    [("skip", r"\s+|//[^\n]*|/\*.*?\*/|\\\r?\n|(?m:^[ \t]*)#(?:[^\n\\]|\\\r?\n|\\.)*"), ("s", r"(?:u8|[uUL])?\"(?:[^\"\\\n]|\\.)*\"|[uUL]?'(?:[^'\\\n]|\\.)+'"), ("n", _NUMBER + r"[uUlLfF]*"), ("name", _NAME)],
     {"(": "(", ")": ")", "[": "[", "]": "]", "{": "{", "}": "}", "A": "+= -= *= /= %= &= |= ^= <<= >>=", "=": "=", "o": "/ % == != < <= > >= && || | ^ << >>", "-": "+ - * &", "!": "! ~", "U": "++ --", "e": "...", ".": ". ->", ",": ",", ";": ";", ":": ":", "?": "?"},
     {"t": "int char long short unsigned signed void float double const static extern inline volatile register auto restrict _Bool bool", "k": "struct union enum", "f": "if", "l": "else", "O": "for", "w": "while", "D": "do", "W": "switch", "c": "case", "d": "default", "R": "return", "b": "break continue", "g": "goto", "z": "sizeof", "T": "typedef"},
 )
@@ -529,7 +531,7 @@ def _lex_js(text: str) -> Iterator[str]:
         if kind == "line":
             broke = True
             continue
-        if broke and last and last in "ins)]}URb" and code not in ".,;)]:?=Ao*-r}lXZI" and not (last == ")" and code == "{"):
+        if broke and last and last in "ins)]}URb" and code not in ".,;)]:?=Ao*-r}XZI" and not (code == "l" and last == "}") and not (last == ")" and code == "{"):
             yield ";"
         broke = False
         if last == "." and kind == "name":
@@ -559,7 +561,7 @@ def _js_rules() -> dict[str, str]:
     export = rf"E(?:d(?:{expr})|\*(?:ii)?{from_}|\{{\}}(?:{from_})?|{var}|{func}|{cls})"
     ended = rf"(?:{exprs}|{var}|R(?:{exprs})?|bi?|{import_}|{export});?"
     # without its semicolon a statement may only stand last, or end in a brace
-    stmt = rf"{prefix}(?:;|\{{\}};?|{func};?|{cls};?|{try_};?|E?d?(?:{func}|{cls});?|(?:{exprs}|{var}|R(?:{exprs})?|bi?|{import_}|{export});)"
+    stmt = rf"(?:(?:i:)?H\{{\}}w\(\);?|{prefix}(?:;|\{{\}};?|{func};?|{cls};?|{try_};?|E?d?(?:{func}|{cls});?|(?:{exprs}|{var}|R(?:{exprs})?|bi?|{import_}|{export});))"
     key = r"(?:[a-zA-Z]|s|\[\])"
     prop = rf"(?:{key}:{expr}|i(?:={expr})?|(?:y|i)?\*?{key}\(\)\{{\}}|e{expr})"
     member = rf"(?:;|(?:@i(?:\(\))?)*(?:i|y|\*)*{key}(?:\(\)\{{\}}|(?:={expr})?;)|i\{{\}}|(?:i)*{key}={expr})"
@@ -588,6 +590,7 @@ _SH_PATTERN = re.compile(rf"\s*(?:#[^\n]*\n\s*)*\(?[ \t]*{_SH_WORD}(?:[ \t]*\|[
 
 
 def _lex_shell(text: str) -> Iterator[str]:
+    text = text.replace("\r\n", "\n")
     at, command, docs, stack, last = 0, True, [], [], ""
     while at < len(text):
         if stack and stack[-1] == "pattern":
@@ -621,8 +624,8 @@ def _lex_shell(text: str) -> Iterator[str]:
             code = "w"
         elif kind == "w":
             code = "w"
-            if last == "O":
-                code, command = "w", False
+            if last in "OD" and last:
+                command = last == "D"
             elif command and word in _SH_OPEN:
                 code = _SH_OPEN[word]
                 if word == "case":
