@@ -256,7 +256,7 @@ def ab_delta_stats(t: Tables) -> DataFrame:
         F.count("*").alias("pairs"),
         F.count_if(F.col("b_ms") < F.col("a_ms")).alias("wins"),
         F.count_if(F.col("b_ms") > F.col("a_ms")).alias("losses"),
-        F.round(1 - F.sum("b_ms") / F.nullif(F.sum("a_ms"), F.lit(0)), 6).alias("reduction"),
+        F.round(1 - F.try_divide(F.sum("b_ms"), F.sum("a_ms")), 6).alias("reduction"),
         F.percentile(F.col("a_ms") - F.col("b_ms"), 0.5).alias("median_delta"),
     )
 
@@ -284,7 +284,7 @@ def ab_bootstrap_ci(t: Tables) -> DataFrame:
                 weight += w
         yield pd.DataFrame({"resample": np.arange(resamples), "total": total, "weight": weight})
 
-    means = pairs.mapInPandas(sums, "resample long, total double, weight double").groupBy("resample").agg((F.sum("total") / F.sum("weight")).alias("mean"))
+    means = pairs.mapInPandas(sums, "resample long, total double, weight double").groupBy("resample").agg(F.try_divide(F.sum("total"), F.sum("weight")).alias("mean"))
     return means.agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
 
 

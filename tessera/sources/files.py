@@ -33,9 +33,10 @@ def scan(spark: SparkSession, path: str, schema: T.StructType | str | None = Non
 
 def scan_tolerant_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Rows of a log of JSON lines, and per file how many lines were malformed."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    good = rows.where("_corrupt_record IS NULL").drop("_corrupt_record")
-    bad = rows.withColumn("source", F.input_file_name()).groupBy("source").agg(F.count_if(F.col("_corrupt_record").isNotNull()).alias("malformed"), F.count("*").alias("lines"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.input_file_name().alias("source"), F.from_json("value", f"{schema}, _bad string", options).alias("r"))
+    good = lines.where("r._bad IS NULL").select("r.*").drop("_bad")
+    bad = lines.groupBy("source").agg(F.count_if(F.col("r._bad").isNotNull()).alias("malformed"), F.count("*").alias("lines"))
     return good, bad
 
 
