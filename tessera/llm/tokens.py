@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import accumulate, chain
@@ -63,6 +64,71 @@ def _token_bytes(path: str) -> list[bytes]:
     return out
 
 
+@lru_cache(maxsize=4)
+def _cuts_at_spaces(path: str) -> bool:
+    """Whether a tokenizer splits by the byte-level rule before it merges, and changes nothing before that."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    first = spec.get("pre_tokenizer") or {}
+    return first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space") and not spec.get("normalizer")
+
+
+#: Places before a space or line end and behind a visible character. The byte-level rule never joins
+#: over such a place: only the first character of a piece it cuts can be white space, unless all are.
+_CUT = re.compile(r"(?<=[!-~\u00c0-\u167f\u3041-\ud7a3])(?=[ \n])")
+
+
+class Pieces:
+    """Token ids of texts as raw 32-bit numbers; a piece between cuts is encoded once and then looked up.
+
+    The tokens of a text are those of its pieces in order, so this is exact. What is kept is
+    bounded: short pieces only, and all are dropped when there are KEPT of them.
+    """
+
+    KEPT = 400_000
+    LONGEST = 40
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [_CUT.split(t) for t in texts]
+        new = list({p for ps in cut for p in ps}.difference(self.known))
+        found = {}
+        for part in _calls(new):
+            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                found[piece] = np.array(e.ids, dtype=np.int32).tobytes()
+        if len(self.known) + len(found) > self.KEPT:
+            self.known = {p: self.known[p] for ps in cut for p in ps if p in self.known}
+        self.known.update(found)
+        out = [b"".join([self.known[p] for p in ps]) for ps in cut]
+        for piece in found:
+            if len(piece) > self.LONGEST:
+                del self.known[piece]
+        return out
+
+
+@lru_cache(maxsize=4)
+def _pieces(path: str) -> Pieces:
+    return Pieces(_tokenizer(path))
+
+
+def _raw_ids(path: str, texts: list[str | None]) -> list[bytes]:
+    plain = [t or "" for t in texts]
+    if not _cuts_at_spaces(path):
+        return [np.array(e.ids, dtype=np.int32).tobytes() for part in _calls(plain) for e in _tokenizer(path).encode_batch_fast(part, add_special_tokens=False)]
+    out: list[bytes] = []
+    for part in _calls(plain):
+        out += _pieces(path).encode(part)
+    return out
+
+
+def _raw_lists(raw: list[bytes]) -> pa.Array:
+    ends = np.fromiter(accumulate((len(r) // 4 for r in raw), initial=0), dtype=np.int32, count=len(raw) + 1)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), dtype=np.int32)))
+
+
 def _calls(texts: list[str]) -> Iterator[list[str]]:
     part: list[str] = []
     size = 0
@@ -109,19 +175,17 @@ def encode(df: DataFrame, text: str = "text", name: str = TOKENIZER, folder: str
     path = _file(name, folder)
 
     def make(texts: list[str | None]) -> list[pa.Array]:
-        tokenizer = _tokenizer(path)
+        if not offsets:
+            return [_raw_lists(_raw_ids(path, texts))]
         coded: list[list[int]] = []
         starts: list[list[int]] = []
         ends: list[list[int]] = []
         for part in _calls([t or "" for t in texts]):
-            if offsets:
-                for e in tokenizer.encode_batch(part, add_special_tokens=False):
-                    coded.append(e.ids)
-                    starts.append([a for a, _ in e.offsets])
-                    ends.append([b for _, b in e.offsets])
-            else:
-                coded += [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-        return [_lists(x) for x in ([coded, starts, ends] if offsets else [coded])]
+            for e in _tokenizer(path).encode_batch(part, add_special_tokens=False):
+                coded.append(e.ids)
+                starts.append([a for a, _ in e.offsets])
+                ends.append([b for _, b in e.offsets])
+        return [_lists(x) for x in (coded, starts, ends)]
 
     kind = T.ArrayType(T.IntegerType(), containsNull=True)
     return _map_texts(df, text, [T.StructField(c, kind) for c in ([ids, "starts", "ends"] if offsets else [ids])], make)
@@ -132,9 +196,7 @@ def token_counts(df: DataFrame, text: str = "text", name: str = TOKENIZER, folde
     path = _file(name, folder)
 
     def make(texts: list[str | None]) -> list[pa.Array]:
-        tokenizer = _tokenizer(path)
-        counts = (len(e) for part in _calls([t or "" for t in texts]) for e in tokenizer.encode_batch_fast(part, add_special_tokens=False))
-        return [pa.array(np.fromiter(counts, dtype=np.int64, count=len(texts)))]
+        return [pa.array(np.fromiter((len(r) // 4 for r in _raw_ids(path, texts)), dtype=np.int64, count=len(texts)))]
 
     return _map_texts(df, text, [T.StructField(count, T.LongType())], make)
 

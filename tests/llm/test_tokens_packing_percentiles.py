@@ -5,6 +5,8 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tessera.llm.packing import first_fit_decreasing, pack
 from tessera.llm.percentiles import bisect, cell, combine, daily_counts
@@ -41,6 +43,19 @@ def test_ids_agree_with_the_same_vocabulary_as_ranks(docs):
         assert r["ids"] == other.encode_ordinary(TEXTS[r["doc_id"]] or "")
 
 
+@given(st.lists(st.text(st.one_of(st.sampled_from(" \n\t\r\u00a0\u3000\u2028\u0085\x1c\x0b'slt aé1я中か한.,!?_-\U0001f600"), st.characters(codec="utf-8")), max_size=40), max_size=12))
+@settings(max_examples=300, deadline=None)
+def test_pieces_are_exact(texts):
+    from tessera.llm.tokens import Pieces, _tokenizer
+
+    tokenizer = _tokenizer("/opt/tokenizers/byte_bpe_50k.json")
+    pieces = Pieces(tokenizer)
+    pieces.KEPT = 5
+    for _ in range(2):
+        got = [np.frombuffer(r, dtype=np.int32).tolist() for r in pieces.encode(texts)]
+        assert got == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_offsets_cover_characters(docs):
     for r in encode(docs, offsets=True).collect():
         text = TEXTS[r["doc_id"]] or ""
