@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import written
 
 # The constants of BM25 and of rank fusion, and the weights of the lanes.
 K1, B = 1.2, 0.75
@@ -29,20 +30,19 @@ QUERY_BLOCK = 2_048
 def bm25_lane(docs: DataFrame, queries: DataFrame, text: Column, depth: int, stop_share: float = STOP_SHARE) -> DataFrame:
     """(query_id, file_id, score, rank): the ``depth`` best documents of each query by BM25 over ``text``.
 
-    The terms of a query are joined by OR. Only postings of terms that some query has are kept
-    before anything is shuffled by term; stop words are left out, so no term brings a large part
-    of the corpus to every query.
+    The terms of a query are joined by OR. Postings of terms that no query has are folded into one
+    per document before anything is shuffled; stop words are left out, so no term brings a large
+    part of the corpus to every query. The small table of postings is written to the shared folder.
     """
-    tokens = docs.select("file_id", X.text_tokens(text).alias("tokens")).where(F.size("tokens") > 0)
-    sizes = tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("mean"))
     asked = queries.select("query_id", F.explode(F.array_distinct(X.text_tokens(F.col("query")))).alias("tok"))
-    words = asked.select("tok").distinct()
-    postings = (
-        tokens.select("file_id", F.size("tokens").alias("len"), F.explode("tokens").alias("tok"))
-        .join(words, "tok", "left_semi")
-        .groupBy("file_id", "len", "tok")
-        .agg(F.count("*").alias("tf"))
-    )
+    words = asked.select("tok").distinct().withColumn("wanted", F.lit(True))
+    # texts are read and cut into words once; words that no query has count as one, so that every
+    # document keeps a row for the statistics
+    tokens = docs.select("file_id", X.text_tokens(text).alias("tokens")).select("file_id", F.size("tokens").alias("len"), F.explode("tokens").alias("tok"))
+    marked = tokens.join(words, "tok", "left").select("file_id", "len", F.when(F.col("wanted"), F.col("tok")).alias("tok"))
+    counted = written(marked.groupBy("file_id", "len", "tok").agg(F.count("*").alias("tf")), "postings")
+    sizes = counted.select("file_id", "len").distinct().agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean"))
+    postings = counted.where("tok IS NOT NULL")
     found = postings.groupBy("tok").agg(F.count("*").alias("df"))
     weighed = (
         found.join(F.broadcast(sizes))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import retrieval as R
 from ..operators.joins import ancestors, longest_prefix_owner
+from ..session import written
 from .registry import Registry, Tables
 
 reg = Registry()
@@ -23,6 +24,11 @@ def current_docs(t: Tables) -> DataFrame:
     return joined.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k", "indexed_at")
 
 
+def stored_docs(t: Tables) -> DataFrame:
+    """The same, written once: each lane then reads only its own columns instead of joining all texts anew."""
+    return written(current_docs(t), "current-docs")
+
+
 def asked(docs: DataFrame) -> DataFrame:
     return docs.where("file_id % 50 = 0").select(F.col("file_id").alias("query_id"), F.concat_ws(" ", "symbols", "name").alias("query"))
 
@@ -121,7 +127,7 @@ _ALL_LANES = ", ".join(_lane_sql(n) for n in _LANES)
 
 @reg("rrf_fuse", f"WITH {_DOCS}, {_ALL_LANES}, {_fused_sql(_LANES)} SELECT * FROM fused")
 def rrf_fuse(t: Tables) -> DataFrame:
-    docs = current_docs(t)
+    docs = stored_docs(t)
     return R.fuse({n: lane(t, n, docs) for n in _LANES})
 
 
@@ -165,19 +171,19 @@ def ranked(t: Tables, docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 @reg("hybrid_search", f"WITH {_HYBRID} SELECT query_id, rank, f.file_id, f.path, score, lanes, copies, left(d.content, 160) AS preview FROM final f JOIN docs d USING (file_id)")
 def hybrid_search(t: Tables) -> DataFrame:
     """The flagship: all lanes, fusion, boosts, copies, diversity and previews, of all queries in one plan."""
-    docs = current_docs(t)
+    docs = stored_docs(t)
     previews = docs.select("file_id", F.substring("content", 1, 160).alias("preview"))
     return ranked(t, docs).join(previews, "file_id").select("query_id", F.col("rank").cast("long").alias("rank"), "file_id", "path", "score", "lanes", F.col("copies").cast("long").alias("copies"), "preview")
 
 
 @reg("collapse_copies", f"WITH {_HYBRID} SELECT query_id, file_id, score, copies FROM copies")
 def collapse_copies(t: Tables) -> DataFrame:
-    return R.collapse_copies(candidates(t, current_docs(t))).select("query_id", "file_id", "score", F.col("copies").cast("long").alias("copies"))
+    return R.collapse_copies(candidates(t, stored_docs(t))).select("query_id", "file_id", "score", F.col("copies").cast("long").alias("copies"))
 
 
 @reg("mmr_directory", f"WITH {_HYBRID} SELECT query_id, file_id, score, rank FROM final")
 def mmr_directory(t: Tables) -> DataFrame:
-    return ranked(t, current_docs(t)).select("query_id", "file_id", "score", F.col("rank").cast("long").alias("rank"))
+    return ranked(t, stored_docs(t)).select("query_id", "file_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @reg("topk_candidates", f"WITH {_DOCS}, {_lane_sql('content')} SELECT query_id, file_id, score FROM content_lane WHERE rank <= {LIMIT}")
@@ -269,7 +275,7 @@ SELECT query_id, file_id, round(1.0 / ({R.RRF_K} + row_number() OVER (PARTITION
 )
 def federated_search(t: Tables) -> DataFrame:
     """Each shard gives its best; their union is ranked anew, so a shard's local ranks do not count."""
-    docs = current_docs(t)
+    docs = stored_docs(t)
     every = R.bm25_lane(docs, asked(docs), F.col("content"), 1 << 30).drop("rank")
     placed = every.join(docs.select("file_id", "path", (F.col("root_id") % 4).alias("shard")), "file_id")
     local = placed.withColumn("k", F.row_number().over(Window.partitionBy("query_id", "shard").orderBy(F.col("score").desc(), "path"))).where("k <= 20")
