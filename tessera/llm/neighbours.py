@@ -209,7 +209,7 @@ def calibrated_margin(usable: DataFrame, tree: Tree, queries: np.ndarray, k: int
     return margin, float(np.mean(need <= margin))
 
 
-def similar_vectors(df: DataFrame, key: str = "chunk_id", vector: str = "vector", dims: int = 96, k: int = 5, floor: float = 0.80, recall: float = 0.98, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def similar_vectors(df: DataFrame, key: str = "chunk_id", vector: str = "vector", dims: int = 96, k: int = 5, floor: float = 0.80, recall: float = 0.99, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(id, other, cosine): for every usable vector up to ``k`` other ids with the highest cosine of at least ``floor``.
 
     Cosines are compared to ten decimals, ties go to the smaller id.
