@@ -97,19 +97,23 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return invalid_rates(_current(spark, sf_dir))
 
 
-def p5_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every credential with its place in the line and its score."""
+def _credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, docs = table(spark, sf_dir, "files"), table(spark, sf_dir, "search_docs")
     return credentials(files, docs, _current(spark, sf_dir))
 
 
+def p5_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every credential with its place in the line and its score."""
+    return _credentials(spark, sf_dir).drop("path")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_places(spark, sf_dir).select("file_id", "line_no").distinct()
 
 
 def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every current content with its credentials blanked."""
-    return redacted(_current(spark, sf_dir), p5_places(spark, sf_dir))
+    """Every current content and every path of a file that is not deleted with its credentials blanked."""
+    return redacted(_current(spark, sf_dir), _credentials(spark, sf_dir), table(spark, sf_dir, "files"))
 
 
 QUERIES = {
