@@ -112,9 +112,14 @@ def _nearest(shared, depth: int):
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
-            cos = np.round(q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)
+            # a batch is reduced to the best row of each file first, then to the best files
+            order = np.argsort(ids, kind="stable")
+            ids, x = ids[order], x[order]
+            first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            ids = ids[first]
+            cos = np.maximum.reduceat(np.round(q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6), first, axis=1)
             for i, row in enumerate(cos):
-                top = range(len(row)) if len(row) <= 8 * depth else np.flatnonzero(row >= np.partition(row, len(row) - 8 * depth)[len(row) - 8 * depth])
+                top = range(len(row)) if len(row) <= depth else np.flatnonzero(row >= np.partition(row, len(row) - depth)[len(row) - depth])
                 mine = held[i]
                 for j in top:
                     f = int(ids[j])

@@ -125,3 +125,12 @@ def test_malformed_lines_are_counted(spark, tmp_path):
     good, bad = scan_tolerant_jsonl(spark, str(tmp_path / "log.jsonl"), "tool string")
     assert {r["tool"] for r in good.collect()} == {"a", "b"}
     assert [(r["malformed"], r["lines"]) for r in bad.collect()] == [(1, 3)]
+
+
+def test_vector_lane_with_many_rows_of_one_file(spark):
+    # file 1 has more near rows in the batch than any multiple of the depth; the others come after it
+    rows = [(1, [1.0, 0.001 * i]) for i in range(200)] + [(f, [1.0, 1.0 + f]) for f in range(2, 7)]
+    chunks = spark.createDataFrame(rows, "file_id long, vector array<double>").coalesce(1)
+    queries = spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, vector array<double>")
+    got = R.vector_lane(chunks, queries, 3, 2).orderBy("rank").collect()
+    assert [(r["file_id"], r["rank"]) for r in got] == [(1, 1), (2, 2), (3, 3)]
