@@ -35,7 +35,7 @@ MAX_LEAVES = 150_000
 CALIBRATION_QUERIES = 512
 #: Cells a query opens at least, before its queue is followed.
 OPEN_CELLS = 4
-#: Leaves visited at most.
+#: Leaves visited at most, to begin with: doubled until the recall asked for is reached, up to all leaves.
 MAX_VISITS = 64
 
 
@@ -167,10 +167,14 @@ def _best(cos: np.ndarray, ids: list[list[str]], k: int, floor: float) -> list[l
     return out
 
 
-def calibrated_margin(usable: DataFrame, tree: Tree, queries: np.ndarray, k: int, floor: float, recall: float) -> tuple[float, float]:
-    """The least margin with which ``queries`` reach ``recall`` against brute force over all rows, and that recall."""
+def calibrated_margin(usable: DataFrame, tree: Tree, queries: np.ndarray, k: int, floor: float, recall: float) -> tuple[float, int, float]:
+    """The least margin with which ``queries`` reach ``recall`` against brute force over all rows, the visits allowed for it, and that recall.
+
+    While too many neighbours are in leaves not visited, twice as many visits are allowed; with all
+    leaves visited none is left out, so the recall is reached in any case.
+    """
     if not len(queries):
-        return 0.0, 1.0
+        return 0.0, MAX_VISITS, 1.0
     sc = usable.sparkSession.sparkContext
     shared, the_tree = sc.broadcast(queries), sc.broadcast(tree)
 
@@ -201,12 +205,16 @@ def calibrated_margin(usable: DataFrame, tree: Tree, queries: np.ndarray, k: int
     # a query's own vector is in its first leaf anyway: what counts is the others
     near = near[near["cos"] < 1.0]
     if near.empty:
-        return 0.0, 1.0
-    away = [dict(order) for order in tree.visits(queries, 2.0)]
-    need = np.sort([away[q].get(h, np.inf) for q, h in zip(near["q"], near["home"], strict=True)])
-    at = min(len(need) - 1, int(np.ceil(recall * len(need))) - 1)
-    margin = float(need[at]) if np.isfinite(need[at]) else 2.0
-    return margin, float(np.mean(need <= margin))
+        return 0.0, MAX_VISITS, 1.0
+    most, leaves = MAX_VISITS, sum(len(part) for part in tree.leaves)
+    while True:
+        # the difference of two cosines is at most 2: nothing but the number of visits ends the search
+        away = [dict(order) for order in tree.visits(queries, 2.0 + 1e-9, most)]
+        need = np.sort([away[q].get(h, np.inf) for q, h in zip(near["q"], near["home"], strict=True)])
+        margin = float(need[max(0, min(len(need), int(np.ceil(recall * len(need)))) - 1)])
+        if np.isfinite(margin) or most >= leaves:
+            return margin, most, float(np.mean(need <= margin))
+        most = min(2 * most, leaves)
 
 
 def similar_vectors(df: DataFrame, key: str = "chunk_id", vector: str = "vector", dims: int = 96, k: int = 5, floor: float = 0.80, recall: float = 0.99, leaf_rows: int = LEAF_ROWS) -> DataFrame:
@@ -225,7 +233,7 @@ def similar_vectors(df: DataFrame, key: str = "chunk_id", vector: str = "vector"
     """
     usable = usable_vectors(df, key, vector, dims).select(F.col("id").cast("string").alias("id"), "k1", "k2", "vec")
     tree, queries = fit_tree(usable, leaf_rows)
-    margin, _ = calibrated_margin(usable, tree, queries, k, floor, recall)
+    margin, most, _ = calibrated_margin(usable, tree, queries, k, floor, recall)
     shared = df.sparkSession.sparkContext.broadcast(tree)
     keep = k + 1
 
@@ -234,9 +242,10 @@ def similar_vectors(df: DataFrame, key: str = "chunk_id", vector: str = "vector"
 
         def out() -> Iterator[pa.RecordBatch]:
             keys = list(held)
-            for s in range(0, len(keys), 4096):
-                part = keys[s : s + 4096]
-                order = shared.value.visits(unit_rows([held[p][0] for p in part]), margin)
+            step = max(1, 4096 * MAX_VISITS // max(MAX_VISITS, most))  # a bound on the rows of a batch
+            for s in range(0, len(keys), step):
+                part = keys[s : s + step]
+                order = shared.value.visits(unit_rows([held[p][0] for p in part]), margin, most)
                 leaf, k1, k2, ids, raw = [], [], [], [], []
                 for p, seen in zip(part, order, strict=True):
                     for n, (at, _) in enumerate(seen):

@@ -66,3 +66,19 @@ def test_neighbours_against_brute_force(spark, copies):
     assert len(got) == len(set(got))
     assert len(set(got) & want) >= 0.98 * len(want) and len(set(got) - want) <= 0.03 * len(want)
     assert similar_pairs(df.limit(0)).count() == 0
+
+
+def test_a_dense_group_over_many_leaves_reaches_the_recall(spark):
+    from tessera.llm.neighbours import MAX_VISITS, similar_vectors
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=96) + 0.2 * rng.normal(size=(600, 96))
+    rows = [(f"d{i:03d}", v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "chunk_id string, vector array<float>").repartition(3)
+    assert len(rows) // 2 > 2 * MAX_VISITS  # leaves
+    u = np.array([v for _, v in rows]) / np.linalg.norm([v for _, v in rows], axis=1, keepdims=True)
+    cos = u @ u.T
+    np.fill_diagonal(cos, -1)
+    want = {(rows[i][0], rows[j][0]) for i, row in enumerate(cos) for j in np.argsort(-row)[:5]}
+    got = {(r["id"], r["other"]) for r in similar_vectors(df, leaf_rows=2).collect()}
+    assert len(got & want) >= 0.985 * len(want)
