@@ -1,10 +1,10 @@
-"""Percentiles per group by bisection over mergeable daily counts.
+"""Exact percentiles per group by bisection over mergeable daily counts.
 
-Values are placed in ordered cells: a value with up to ``bits`` binary digits is a cell of
-its own, a larger one shares a cell with the values that agree in its leading ``bits``
-digits, so a cell is at most 2**(1-bits) of its values wide. The daily table counts rows by
-day, group and cell; it is bounded whatever the number of rows, and daily tables combine by
-adding counts. Percentiles are found on the combined counts by exact bisection.
+The daily table counts rows by day, group and value; daily tables of separate partitions or days
+combine by adding counts. For each group and percentile an interval of values is kept; a pass
+counts the rows below the interval's midpoints, straight from the daily rows, and keeps the part
+that holds the wanted rank, until one value is left. Nothing is rounded and no group is ever
+gathered or sorted in one place: a pass adds up at most 65 counts per group and percentile.
 """
 
 from __future__ import annotations
@@ -16,27 +16,12 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
-#: Leading binary digits that are kept of a value.
-BITS = 12
 #: Midpoints that one pass counts below in each open interval, as a power of two.
 PASS_BITS = 6
 
 
-def cell(value: Column, bits: int = BITS) -> Column:
-    """The lowest value (by magnitude) of the cell of an integer: its digits after the leading ``bits`` are 0.
-
-    Keeps order: a <= b implies cell(a) <= cell(b).
-    """
-    value = value.cast("long")
-    size = F.when(value == F.lit(-(2**63)), F.lit(2**63 - 1)).otherwise(F.abs(value))
-    digits = F.length(F.bin(size))
-    spare = F.greatest(digits - F.lit(bits), F.lit(0))
-    low = F.call_function("shiftleft", F.call_function("shiftright", size, spare), spare)
-    return F.when(value < 0, -low).otherwise(low)
-
-
-def daily_counts(rows: DataFrame, keys: list[str], at_ms: str, groups: list[str], values: list[str], bits: int = BITS) -> DataFrame:
-    """Counts by (day, groups, measure, cell), each record counted once.
+def daily_counts(rows: DataFrame, keys: list[str], at_ms: str, groups: list[str], values: list[str]) -> DataFrame:
+    """Counts by (day, groups, measure, value), each record counted once.
 
     ``keys`` identify a record (null is a value of its own); all its repeats have the same time,
     so a day's table holds each record once however late it arrives. Null values are left out,
@@ -59,77 +44,80 @@ def daily_counts(rows: DataFrame, keys: list[str], at_ms: str, groups: list[str]
     return (
         once.select("day", *groups, F.explode(measures).alias("m"))
         .where(F.col("m.value").isNotNull())
-        .groupBy("day", *groups, F.col("m.measure").alias("measure"), cell(F.col("m.value"), bits).alias("cell"))
+        .groupBy("day", *groups, F.col("m.measure").alias("measure"), F.col("m.value").alias("value"))
         .agg(F.count("*").alias("n"))
     )
 
 
 def combine(*daily: DataFrame) -> DataFrame:
-    """Daily tables of separate partitions or days as one; equal cells add up."""
+    """Daily tables of separate partitions or days as one; equal values add up."""
     whole = reduce(DataFrame.unionByName, daily)
     return whole.groupBy(*[c for c in whole.columns if c != "n"]).agg(F.sum("n").alias("n"))
 
 
-def bisect(daily: DataFrame, groups: list[str], percents: list[float], bits: int = BITS, pass_bits: int = PASS_BITS) -> DataFrame:
+def _shift(low: Column, high: Column, pass_bits: int) -> Column:
+    """Binary digits that a pass leaves out, so that low..high has at most 2**pass_bits + 1 parts; halves do not overflow."""
+    half = F.call_function("shiftright", high, F.lit(1)) - F.call_function("shiftright", low, F.lit(1))
+    return F.greatest(F.length(F.bin(half)) + 1 - pass_bits, F.lit(0))
+
+
+def bisect(daily: DataFrame, groups: list[str], percents: list[float], pass_bits: int = PASS_BITS) -> DataFrame:
     """(groups, measure, percent, n, value, error_bound): the nearest-rank percentile of each group.
 
-    The rank of percent p among n values is ceil(n * p / 100), at least 1. An interval of cells
-    is kept per group and percent. A pass counts the rows below the interval's evenly spaced
-    midpoints (2**pass_bits - 1 of them, so it halves the interval ``pass_bits`` times) and keeps
-    the part that holds the rank. ``value`` is the low end of the cell, ``error_bound`` the
-    width of the cell less 1: the exact percentile lies in value .. value + error_bound (for
-    negative values in value - error_bound .. value).
+    The rank of percent p among n values is ceil(n * p / 100), at least 1. ``daily`` has rows
+    (groups, measure, value, n); the same value may stand in any number of rows (days, partitions).
+    A pass counts the rows below the midpoints of each open interval (multiples of a power of two,
+    2**pass_bits of them, so it halves the interval ``pass_bits`` times) and narrows the interval
+    to the least and largest value in the part that holds the rank. ``value`` is exact for every
+    64-bit integer: ``error_bound`` is always 0.
+
+    The intervals are a table in the shared folder, one row a group: Spark broadcasts it where its
+    written size allows and otherwise joins by shuffle, with a hot group split by adaptive execution.
+
+    Defined cases: a null group is a group; ties are counted by rank; no rows in, no rows out.
     """
     keys = [*groups, "measure"]
-    # days are added up before bisecting: what remains is bounded by groups x cells
-    counts = written(daily.groupBy(*keys, "cell").agg(F.sum("n").alias("n")), "cell-counts")
-    ranks = F.array(*(F.lit(float(p)) for p in percents))
-    state = (
-        counts.groupBy(*keys)
-        .agg(F.sum("n").alias("total"), F.min("cell").alias("low"), F.max("cell").alias("high"))
-        .select(*keys, "total", "low", "high", F.explode(ranks).alias("percent"))
-        .withColumn("rank", F.greatest(F.ceil(F.col("total") * F.col("percent") / 100.0), F.lit(1)))
-    )
-    state = written(state, "intervals")
-    parts = 1 << pass_bits
-    while True:
-        # both ends included; the width in doubles, as it may pass 2**63
-        widest = state.agg(F.max(F.col("high").cast("double") - F.col("low").cast("double"))).first()[0]
-        if not widest:
-            break
-        step = F.ceil((F.col("high").cast("decimal(20,0)") - F.col("low").cast("decimal(20,0)") + 1) / parts).cast("decimal(20,0)")
-        open_ = state.withColumn("step", step)
-        inside = (
-            open_.alias("s")
-            .join(counts.alias("c"), _same("s", "c", keys) & (F.col("c.cell") <= F.col("s.high")), "left")
-            .select(
-                *(F.col(f"s.{c}") for c in [*keys, "percent", "total", "rank", "low", "high", "step"]),
-                F.when(F.col("c.cell") < F.col("s.low"), F.lit(-1))
-                .otherwise(F.floor((F.col("c.cell").cast("decimal(20,0)") - F.col("s.low").cast("decimal(20,0)")) / F.col("s.step")))
-                .cast("int")
-                .alias("slot"),
-                F.col("c.cell").alias("cell"),
-                F.col("c.n").alias("n"),
+    counts = written(daily.select(*keys, F.col("value").cast("long").alias("value"), "n"), "daily-values")
+    marks = F.array(
+        *(
+            F.struct(
+                F.lit(float(p)).alias("percent"),
+                F.greatest(F.ceil(F.col("total") * float(p) / 100.0), F.lit(1)).cast("long").alias("rank"),
+                F.lit(0).cast("long").alias("below"),
+                F.col("low").alias("low"),
+                F.col("high").alias("high"),
             )
+            for p in percents
         )
-        slots = inside.groupBy(*keys, "percent", "total", "rank", "low", "high", "step", "slot").agg(F.sum("n").alias("n"), F.min("cell").alias("first"), F.max("cell").alias("last"))
-        gathered = slots.groupBy(*keys, "percent", "total", "rank").agg(F.sort_array(F.collect_list(F.struct("slot", "n", "first", "last"))).alias("slots"))
-        # the first slot at which the running count reaches the rank; its cells bound the next interval
-        found = F.aggregate(
-            "slots",
-            F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("low"), F.lit(None).cast("long").alias("high")),
-            lambda a, s: F.when(a["low"].isNotNull(), a).otherwise(
-                F.struct(
-                    (a["seen"] + s["n"]).alias("seen"),
-                    F.when(a["seen"] + s["n"] >= F.col("rank"), s["first"]).alias("low"),
-                    F.when(a["seen"] + s["n"] >= F.col("rank"), s["last"]).alias("high"),
-                )
-            ),
+    )
+    ends = counts.groupBy(*keys).agg(F.sum("n").alias("total"), F.min("value").alias("low"), F.max("value").alias("high"))
+    state = written(ends.select(*keys, "total", marks.alias("marks")), "intervals")
+    while not state.where(F.exists("marks", lambda m: m["low"] < m["high"])).isEmpty():
+        wanted = F.filter("s.marks", lambda m: (m["low"] < m["high"]) & (F.col("c.value") >= m["low"]) & (F.col("c.value") <= m["high"]))
+        inside = counts.alias("c").join(state.alias("s"), _same("c", "s", keys)).select(*(F.col(f"c.{k}") for k in keys), "c.value", "c.n", F.explode(wanted).alias("m"))
+        shift = _shift(F.col("m.low"), F.col("m.high"), pass_bits)
+        slot = F.call_function("shiftright", F.col("value"), shift) - F.call_function("shiftright", F.col("m.low"), shift)
+        slots = inside.groupBy(*keys, "m.percent", slot.alias("slot")).agg(F.sum("n").alias("n"), F.min("value").alias("first"), F.max("value").alias("last"))
+        gathered = slots.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("percent", "slot", "n", "first", "last"))).alias("slots"))
+        narrowed = state.alias("s").join(gathered.alias("g"), _same("s", "g", keys), "left")
+        moved = F.transform("s.marks", lambda m: F.when(m["low"] < m["high"], _narrowed(m, F.filter("g.slots", lambda x: x["percent"] == m["percent"]))).otherwise(m))
+        state = written(narrowed.select(*(F.col(f"s.{k}") for k in keys), "s.total", moved.alias("marks")), "intervals")
+    return state.select(*keys, "total", F.explode("marks").alias("m")).select(*keys, "m.percent", F.col("total").alias("n"), F.col("m.low").alias("value"), F.lit(0).cast("long").alias("error_bound"))
+
+
+def _narrowed(mark: Column, slots: Column) -> Column:
+    """The interval of the first slot at which the running count reaches the rank, with the rows below it."""
+    begin = F.struct(mark["below"].alias("below"), F.lit(None).cast("long").alias("low"), F.lit(None).cast("long").alias("high"))
+
+    def step(seen: Column, slot: Column) -> Column:
+        here = seen["below"] + slot["n"] >= mark["rank"]
+        further = F.struct(
+            F.when(here, seen["below"]).otherwise(seen["below"] + slot["n"]).alias("below"), F.when(here, slot["first"]).alias("low"), F.when(here, slot["last"]).alias("high")
         )
-        state = written(gathered.withColumn("f", found).select(*keys, "total", F.col("f.low").alias("low"), F.col("f.high").alias("high"), "percent", "rank"), "intervals")
-    size = F.when(F.col("low") == F.lit(-(2**63)), F.lit(2**63 - 1)).otherwise(F.abs("low"))
-    bound = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(size)) - bits, F.lit(0))) - 1
-    return state.select(*keys, "percent", F.col("total").alias("n"), F.col("low").alias("value"), bound.alias("error_bound"))
+        return F.when(seen["low"].isNotNull(), seen).otherwise(further)
+
+    found = F.aggregate(slots, begin, step)
+    return F.struct(mark["percent"].alias("percent"), mark["rank"].alias("rank"), found["below"].alias("below"), found["low"].alias("low"), found["high"].alias("high"))
 
 
 def _same(left: str, right: str, columns: list[str]) -> Column:

@@ -146,19 +146,13 @@ v AS (
   UNION ALL
   SELECT tool, client_name, day, 'response_bytes', response_bytes FROM once WHERE response_bytes IS NOT NULL)"""
 
-#: Spare digits of a value: those after the leading 12.
-_SPARE = "greatest(length(bin(abs({0}))) - 12, 0)"
-_CELL = f"sign(v)::BIGINT * ((abs(v) >> {_SPARE.format('v')}) << {_SPARE.format('v')})"
-
 SQL = {
-    "p3_daily": f"WITH {_ONCE} SELECT day, tool, client_name, measure, {_CELL} AS cell, count(*) AS n FROM v GROUP BY ALL",
+    "p3_daily": f"WITH {_ONCE} SELECT day, tool, client_name, measure, v AS value, count(*) AS n FROM v GROUP BY ALL",
     "p3_percentiles": f"""
 WITH {_ONCE},
 r AS (SELECT tool, client_name, measure, v, count(*) OVER (PARTITION BY tool, client_name, measure) AS n, row_number() OVER (PARTITION BY tool, client_name, measure ORDER BY v) AS k
-      FROM v),
-q AS (SELECT r.*, p.percent FROM r, (VALUES (50.0::DOUBLE), (95.0::DOUBLE), (99.0::DOUBLE)) AS p(percent)
-      WHERE k = greatest(ceil(n * percent / 100.0), 1))
-SELECT tool, client_name, measure, percent, n, {_CELL} AS value,
-       (1::BIGINT << {_SPARE.format('v')}) - 1 AS error_bound FROM q""",
+      FROM v)
+SELECT tool, client_name, measure, percent, n, v AS value, 0::BIGINT AS error_bound FROM r, (VALUES (50.0::DOUBLE), (95.0::DOUBLE), (99.0::DOUBLE)) AS p(percent)
+WHERE k = greatest(ceil(n * percent / 100.0), 1)""",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
