@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators.content import current_content
+from ..operators import extract as E
 from ..operators.extract import agent_metadata, chunk_lines, json_key_paths, redact_json, sql_sections, symbols_of
 from .registry import Registry, Tables
 
@@ -16,7 +17,7 @@ CURRENT = """(SELECT f.id AS file_id, min(f.root_id) AS root_id, min(lower(f.ext
  FROM files f JOIN search_docs s ON s.file_id = f.id AND s.generation = f.generation WHERE NOT f.deleted AND s.content IS NOT NULL GROUP BY f.id, f.generation)"""
 
 _KINDS = "CASE name WHEN 'AGENTS.md' THEN 'agent_instructions' WHEN 'SKILL.md' THEN 'agent_skill' ELSE CASE " + " ".join(
-    "WHEN ext IN ({}) THEN '{}'".format(", ".join(f"'{e}'" for e in words.split()), kind) for kind, words in X.KIND_EXTENSIONS.items()
+    "WHEN ext IN ({}) THEN '{}'".format(", ".join(f"'{e}'" for e in words), kind) for kind, words in X.KIND_EXTENSIONS.items()
 ) + " ELSE 'unknown' END END"
 _EXT = "nullif(lower(regexp_extract(name, '^.+\\.([^.]*)$', 1)), '')"
 
@@ -112,11 +113,11 @@ def path_token_coverage(t: Tables) -> DataFrame:
     "filename_anchors",
     r"""SELECT DISTINCT query, array_to_string(list_filter(list_transform(string_split_regex(query, '\s+'), lambda w: regexp_replace(regexp_replace(w, '^[`"''(),;]+|[`"''(),;]+$', '', 'g'), '^\./', '')),
  lambda w: NOT contains(w, ':') AND NOT contains(w, '//') AND strlen(w) <= 512 AND regexp_matches(w, '^(?:.*/)?[^/]+\.[A-Za-z]{1,12}$'))[1:4], '|') AS anchors
-FROM (SELECT 'open `' || relative_path || '` and ' || name AS query FROM files UNION ALL SELECT content FROM search_docs WHERE length(content) < 300)""",
+FROM (SELECT 'open `' || relative_path || '` and ' || name AS query FROM files UNION ALL SELECT content FROM search_docs WHERE content IS NOT NULL)""",
 )
 def filename_anchors(t: Tables) -> DataFrame:
     asked = t.files.select(F.concat(F.lit("open `"), "relative_path", F.lit("` and "), "name").alias("query"))
-    asked = asked.unionByName(t.search_docs.where(F.length("content") < 300).select(F.col("content").alias("query"))).distinct()
+    asked = asked.unionByName(t.search_docs.where("content IS NOT NULL").select(F.col("content").alias("query"))).distinct()
     return asked.select("query", F.array_join(X.filename_anchors(F.col("query")), "|").alias("anchors"))
 
 
@@ -220,7 +221,42 @@ def md_headings(t: Tables) -> DataFrame:
     return t.documents.where("kind = 'agent_skill' AND text IS NOT NULL").select("doc_id", F.explode(headings).alias("heading"))
 
 
-@reg("extract_symbols")
+@reg(
+    "md_links",
+    r"""SELECT doc_id, unnest(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\[[^\]]*\]\(([^)\s]+)\)', 1), lambda x: trim(string_split(x, '#')[1])),
+ lambda x: x <> '' AND NOT starts_with(x, '/') AND NOT contains(x, '://') AND NOT starts_with(x, 'mailto:')))) AS link FROM documents WHERE text IS NOT NULL""",
+)
+def md_links(t: Tables) -> DataFrame:
+    """Local targets of the links of a text, each once, without the part behind ``#``."""
+    targets = F.transform(F.regexp_extract_all("text", F.lit(r"\[[^\]]*\]\(([^)\s]+)\)"), F.lit(1)), lambda x: F.trim(F.split(x, "#")[0]))
+    local = F.filter(targets, lambda x: (x != "") & ~x.startswith("/") & ~x.contains("://") & ~x.startswith("mailto:"))
+    return t.documents.where("text IS NOT NULL").select("doc_id", F.explode(F.array_distinct(local)).alias("link"))
+
+
+_LINES = r"string_split_regex(regexp_replace(content, '(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}])\z', ''), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]')"
+_ROWS = f"SELECT file_id, extension, unnest({_LINES}) AS line, generate_subscripts({_LINES}, 1) AS n FROM {CURRENT} WHERE content <> ''"
+
+
+def _declared(lang: str, kind: str, pattern: str) -> str:
+    names = f"regexp_extract_all(line, '{pattern}', 1)"
+    if kind == "call":
+        names = f"list_filter(list_distinct({names}), lambda x: x NOT IN ({', '.join(repr(w) for w in E.NO_CALLS)}))"
+    return f"SELECT file_id, n, indent, line, '{kind}' AS kind, unnest({names}) AS name FROM l WHERE NOT comment AND lang = '{lang}'" + (" AND NOT declares" if kind == "call" else "")
+
+
+@reg(
+    "extract_symbols",
+    rf"""WITH l AS (SELECT file_id, CASE extension WHEN 'pyi' THEN 'py' ELSE extension END AS lang, line, n, length(regexp_extract(line, '^\s*')) AS indent,
+  regexp_matches(line, '^\s*(?://|\*|/\*)') OR extension IN ('py', 'pyi') AND regexp_matches(line, '^\s*#') AS comment,
+  regexp_matches(line, '^\s*(?:pub(?:\([^)]*\))?\s+)?(?:(?:async|unsafe|const|extern)\s+)*(?:fn|func)\s') AS declares
+ FROM ({_ROWS}) WHERE extension IN ('py', 'pyi', 'rs', 'go') AND trim(line) <> ''),
+d AS ({" UNION ALL ".join(_declared(lang, kind, pattern) for lang, known in E.DECLARATIONS.items() for kind, pattern in known)}),
+e AS (SELECT d.file_id, d.n, d.name, d.kind, d.line, d.indent, (SELECT min(l.n) FROM l WHERE l.file_id = d.file_id AND l.n > d.n AND l.indent <= d.indent) AS stop FROM d)
+SELECT file_id, left(name, 160) AS name, kind, n AS line_start,
+ CASE WHEN kind IN ('import', 'call') THEN n WHEN EXISTS (SELECT 1 FROM l WHERE l.file_id = e.file_id AND l.n = e.stop AND l.indent = e.indent AND regexp_matches(l.line, '^\s*[}})\]]')) THEN stop
+  ELSE (SELECT max(l.n) FROM l WHERE l.file_id = e.file_id AND l.n < coalesce(e.stop, 2147483647)) END AS line_end,
+ left(trim(regexp_replace(line, '\s+', ' ', 'g')), 240) AS signature FROM e""",
+)
 def extract_symbols(t: Tables) -> DataFrame:
     return symbols_of(current_content(t.files, t.search_docs))
 
@@ -230,35 +266,90 @@ def chunk_text(t: Tables) -> DataFrame:
     return chunk_lines(current_content(t.files, t.search_docs).select("file_id", "content"))
 
 
-@reg("chunk_sql_sections")
+_QUOTED = E.QUOTED.replace("'", "''")
+
+
+@reg(
+    "chunk_sql_sections",
+    rf"""WITH r AS (SELECT file_id, n, line, lower(line) AS low, regexp_replace(line, '{_QUOTED}', '', 'g') AS bare FROM ({_ROWS}) WHERE extension = 'sql'),
+s AS (SELECT *, sum(length(bare) - length(replace(bare, '(', '')) - length(bare) + length(replace(bare, ')', ''))) OVER (PARTITION BY file_id ORDER BY n) AS total FROM r),
+d AS (SELECT *, total - least(min(total) OVER (PARTITION BY file_id ORDER BY n), 0) AS depth FROM s),
+o AS (SELECT *, coalesce(lag(depth) OVER w, 0) = 0 AND regexp_matches(low, '{E.SECTION_START}') AND NOT coalesce(trim(lag(low) OVER w) = 'with', false) AS opens, regexp_matches(low, '^\s*select') AS sel,
+  regexp_matches(low, '^\s*(?:insert|create) ') AS writes FROM d WINDOW w AS (PARTITION BY file_id ORDER BY n)),
+g AS (SELECT *, sum(CASE WHEN opens AND NOT sel THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY n) AS grp FROM o),
+f AS (SELECT *, opens AND (NOT sel OR NOT coalesce(bool_or(writes) OVER (PARTITION BY file_id, grp ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)) AS first FROM g),
+p AS (SELECT file_id, n, line, sum(CASE WHEN first THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY n) AS sec FROM f),
+b AS (SELECT file_id, sec, trim(string_agg(line, chr(10) ORDER BY n), E' \t\n\r') AS body FROM p GROUP BY ALL)
+SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY sec) - 1 AS part, body FROM b WHERE body <> ''""",
+)
 def chunk_sql_sections(t: Tables) -> DataFrame:
-    return sql_sections(current_content(t.files, t.search_docs).where("extension = 'sql'").select("file_id", "content"))
+    return sql_sections(current_content(t.files, t.search_docs).where("extension = 'sql'").select("file_id", "content")).withColumn("part", F.col("part").cast("long"))
+
+
+# What a script's words say about it, and how many of each kind are listed.
+_SAYS = [
+    (r"left semi join|right semi join", "semi-join filtering through a target relation"),
+    (r"row_number.* over | over .*row_number", "windowed row ranking"),
+    (r"partition by", "partitioned window computation"),
+    (r"group by", "grouped aggregation"),
+    (r"insert overwrite", "materialized output"),
+]
+_LISTED = 16
+_CTE, _RELATION = r"(?im)^\s*(?:with\s+)?([a-z_][a-z0-9_$]*)\s+as\s*\(", r"(?i)\b(?:from|join|into|update|table|view)\s+([`a-z_][`a-z0-9_.$/-]*)"
+_IDENTIFIER, _FALLING, _OFF = r"\b[a-z][a-z0-9]*_[a-z0-9_]+\b", r"(?i)\border\s+by\s+([a-z_][a-z0-9_.]*)\s+desc\b", r"(?i)\b(?:[a-z_][a-z0-9_.]*\.)?is_([a-z0-9_]+)\s*=\s*0\b"
 
 
 @reg(
     "sql_structure_summary",
-    rf"""SELECT file_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(content), '\b(?:from|join)\s+([a-z_][a-z0-9_.]*)', 1))), ',') AS relations,
- contains(lower(content), 'group by') AS grouped, regexp_matches(lower(content), 'row_number') AS ranked, regexp_matches(lower(content), 'partition\s+by') AS partitioned FROM {CURRENT} WHERE extension = 'sql'""",
+    rf"""WITH c AS (SELECT file_id, content, regexp_replace(lower(content), '\s+', ' ', 'g') AS flat FROM {CURRENT} WHERE extension = 'sql'),
+i AS (SELECT file_id, array_to_string(list(id ORDER BY n DESC, first)[1:{_LISTED}], ', ') AS ids FROM (SELECT file_id, id, count(*) AS n, min(k) AS first FROM (
+  SELECT file_id, unnest(x) AS id, generate_subscripts(x, 1) AS k FROM (SELECT file_id, regexp_extract_all(lower(content), '{_IDENTIFIER}') AS x FROM c)) GROUP BY ALL) GROUP BY file_id),
+f AS (SELECT *, regexp_extract_all(content, '{_FALLING}', 1) AS falling, regexp_extract_all(content, '{_OFF}', 1) AS off, regexp_extract_all(content, '{_CTE}', 1) AS ctes, regexp_extract_all(content, '{_RELATION}', 1) AS rel FROM c)
+SELECT f.file_id, array_to_string(list_concat([{", ".join(f"CASE WHEN regexp_matches(flat, '{p}') THEN '{said}' END" for p, said in _SAYS)}],
+  list_concat(list_transform(list_sort(list_distinct(falling)), lambda x: 'descending ranking by ' || replace(CASE regexp_extract(x, '[^.]*$') WHEN 'cost' THEN 'cost/spend' ELSE regexp_extract(x, '[^.]*$') END, '_', ' ')),
+   list_transform(list_sort(list_distinct(off)), lambda x: 'non-' || replace(x, '_', ' ') || ' rows'))), '; ') AS features,
+ array_to_string(list_sort(list_distinct(ctes))[1:{_LISTED}], ', ') AS ctes,
+ array_to_string(list_sort(list_distinct(list_filter(rel, lambda x: lower(replace(x, '`', '')) NOT IN ('on', 'select'))))[1:{_LISTED}], ', ') AS relations, coalesce(i.ids, '') AS identifiers
+FROM f LEFT JOIN i ON i.file_id = f.file_id""",
 )
 def sql_structure_summary(t: Tables) -> DataFrame:
-    low = F.lower("content")
-    relations = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(low, F.lit(r"\b(?:from|join)\s+([a-z_][a-z0-9_.]*)"), F.lit(1)))), ",")
-    return current_content(t.files, t.search_docs).where("extension = 'sql'").select(
-        "file_id", relations.alias("relations"), low.contains("group by").alias("grouped"), low.rlike("row_number").alias("ranked"), low.rlike(r"partition\s+by").alias("partitioned")
-    )
+    """What a script does, its named queries, its relations and its 16 most frequent identifiers (ties by first place)."""
+    scripts = current_content(t.files, t.search_docs).where("extension = 'sql'").select("file_id", "content")
+    every = lambda p: F.array_sort(F.array_distinct(F.regexp_extract_all("content", F.lit(p), F.lit(1))))
+    flat = F.regexp_replace(F.lower("content"), r"\s+", " ")
+    last = lambda x: F.regexp_extract(x, "[^.]*$", 0)
+    falling = F.transform(every(_FALLING), lambda x: F.concat(F.lit("descending ranking by "), F.replace(F.when(last(x) == "cost", "cost/spend").otherwise(last(x)), F.lit("_"), F.lit(" "))))
+    off = F.transform(every(_OFF), lambda x: F.concat(F.lit("non-"), F.replace(x, F.lit("_"), F.lit(" ")), F.lit(" rows")))
+    features = F.array_join(F.concat(F.array(*(F.when(flat.rlike(p), said) for p, said in _SAYS)), falling, off), "; ")
+    relations = F.filter(every(_RELATION), lambda x: ~F.lower(F.replace(x, F.lit("`"), F.lit(""))).isin("on", "select"))
+    named = scripts.select("file_id", F.posexplode(F.regexp_extract_all(F.lower("content"), F.lit(_IDENTIFIER), F.lit(0))).alias("k", "id")).groupBy("file_id", "id").agg(F.count("*").alias("n"), F.min("k").alias("first"))
+    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "first", "id"))), 1, _LISTED)
+    ids = named.groupBy("file_id").agg(F.array_join(top["id"], ", ").alias("identifiers"))
+    listed = scripts.select("file_id", features.alias("features"), F.array_join(F.slice(every(_CTE), 1, _LISTED), ", ").alias("ctes"), F.array_join(F.slice(relations, 1, _LISTED), ", ").alias("relations"))
+    return listed.join(ids, "file_id", "left").withColumn("identifiers", F.coalesce("identifiers", F.lit("")))
+
+
+#: Chunks that are kept of a file, and of a script.
+_CHUNKS, _SCRIPT_CHUNKS = 4, 8
+
+
+def _spread(count, most):
+    """Up to ``most`` places among ``count``, evenly spread with the first and the last; one place is the last."""
+    places = F.transform(F.sequence(F.lit(0), most - 1), lambda k: F.bround(k * (count - 1) / (most - 1)).cast("int"))
+    return F.when(count <= most, F.sequence(F.lit(0), count - 1)).when(most == 1, F.array(count - 1)).otherwise(F.array_distinct(places))
 
 
 @reg(
     "representative_chunks",
-    """WITH c AS (SELECT file_id, chunk_id, row_number() OVER (PARTITION BY file_id ORDER BY chunk_id) - 1 AS i, count(*) OVER (PARTITION BY file_id) AS n FROM (SELECT DISTINCT file_id, chunk_id FROM chunks))
-SELECT file_id, chunk_id FROM c WHERE n <= 2 OR i IN (0, n - 1)""",
+    f"""WITH c AS (SELECT file_id, chunk_id, row_number() OVER (PARTITION BY file_id ORDER BY chunk_id) - 1 AS i, count(*) OVER (PARTITION BY file_id) AS n,
+ CASE WHEN bool_or(ends_with(path, '.sql')) OVER (PARTITION BY file_id) THEN {_SCRIPT_CHUNKS} ELSE {_CHUNKS} END AS most FROM (SELECT file_id, chunk_id, min(path) AS path FROM chunks GROUP BY ALL))
+SELECT file_id, chunk_id FROM c WHERE n <= most OR list_contains(list_transform(range(most), lambda k: round_even(k * (n - 1) / (most - 1), 0)::BIGINT), i)""",
 )
 def representative_chunks(t: Tables) -> DataFrame:
-    """Of each file's chunks two spread evenly, the first and the last."""
-    of_file = F.array_sort(F.collect_set("chunk_id"))
-    pick = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(1)), lambda k: F.bround(k * (F.size("all") - 1)).cast("int")))
-    picked = t.chunks.groupBy("file_id").agg(of_file.alias("all")).select("file_id", F.explode(F.transform(pick, lambda i: F.get("all", i))).alias("chunk_id"))
-    return picked
+    """Of each file's chunks four, of a script's eight, spread evenly over their order."""
+    of_file = t.chunks.groupBy("file_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("all"), F.when(F.bool_or(F.endswith("path", F.lit(".sql"))), _SCRIPT_CHUNKS).otherwise(_CHUNKS).alias("most"))
+    picked = of_file.select("file_id", "all", F.explode(_spread(F.size("all"), F.col("most"))).alias("i"))
+    return picked.select("file_id", F.get("all", F.col("i")).alias("chunk_id"))
 
 
 @reg("balanced_groups", "SELECT id, CAST(ntile(7) OVER (PARTITION BY root_id ORDER BY id) AS BIGINT) AS grp FROM (SELECT DISTINCT id, root_id FROM files)")
@@ -268,23 +359,40 @@ def balanced_groups(t: Tables) -> DataFrame:
     return t.files.select("id", "root_id").distinct().select("id", F.ntile(7).over(Window.partitionBy("root_id").orderBy("id")).cast("long").alias("grp"))
 
 
+#: Tokens of a window.
+_WINDOW = 480
+
+
 @reg(
     "token_window_chunks",
-    f"""SELECT doc_id, i AS part, left(sha256(doc_id || '|' || i || '|' || body), 32) AS chunk_id, body FROM (
- SELECT doc_id, i, array_to_string(tokens[i * 120 + 1 : i * 120 + 120], ' ') AS body FROM (SELECT doc_id, tokens, unnest(range(CAST(ceil(len(tokens) / 120.0) AS BIGINT))) AS i
- FROM (SELECT doc_id, {_TOK.format('text')} AS tokens FROM documents WHERE text IS NOT NULL)))""",
+    rf"""WITH t AS (SELECT doc_id, CASE WHEN ends_with(lower(path), '.sql') THEN {_SCRIPT_CHUNKS} ELSE {_CHUNKS} END AS most,
+  regexp_extract_all('Path: ' || coalesce(path, '') || chr(10) || 'File type: ' || kind || chr(10) || text, '\s*\S+') AS tokens FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, most, tokens, CAST(ceil(len(tokens) / {_WINDOW}.0) AS BIGINT) AS n FROM t),
+p AS (SELECT doc_id, tokens, unnest(list_sort(list_distinct(CASE WHEN n <= most THEN range(n) ELSE list_transform(range(most), lambda k: round_even(k * (n - 1) / (most - 1), 0)::BIGINT) END))) AS i FROM w),
+b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS part, array_to_string(tokens[i * {_WINDOW} + 1 : i * {_WINDOW} + {_WINDOW}], '') AS body FROM p)
+SELECT doc_id, part, left(sha256(doc_id || '|' || part || '|' || body), 32) AS chunk_id, body FROM b""",
 )
 def token_window_chunks(t: Tables) -> DataFrame:
-    tokens = t.documents.select("doc_id", X.text_tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
-    parts = tokens.select("doc_id", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.size("tokens") / 120.0) - 1)).alias("part"))
-    body = parts.select("doc_id", "part", F.array_join(F.slice("tokens", (F.col("part") * 120 + 1).cast("int"), 120), " ").alias("body"))
+    """Windows of 480 tokens over a header and the text; of a document's windows four, of a script's eight."""
+    header = F.concat(F.lit("Path: "), F.coalesce("path", F.lit("")), F.lit("\nFile type: "), "kind", F.lit("\n"))
+    most = F.when(F.endswith(F.lower("path"), F.lit(".sql")), _SCRIPT_CHUNKS).otherwise(_CHUNKS)
+    cut = t.documents.where("text IS NOT NULL").select("doc_id", most.alias("most"), F.regexp_extract_all(F.concat(header, "text"), F.lit(r"\s*\S+"), F.lit(0)).alias("tokens"))
+    windows = cut.select("doc_id", "tokens", F.posexplode(_spread(F.ceil(F.size("tokens") / _WINDOW).cast("int"), F.col("most"))).alias("part", "i"))
+    body = windows.select("doc_id", F.col("part").cast("long").alias("part"), F.array_join(F.slice("tokens", F.col("i") * _WINDOW + 1, _WINDOW), "").alias("body"))
     return body.select("doc_id", "part", F.substring(F.sha2(F.concat_ws("|", "doc_id", "part", "body"), 256), 1, 32).alias("chunk_id"), "body")
 
 
-@reg("semantic_text", "SELECT file_id, generation, left(concat_ws(chr(10), content, 'Symbols: ' || nullif(symbols, ''), 'Schema: ' || nullif(schema_text, '')), 65536) AS text FROM (SELECT DISTINCT * FROM search_docs)")
+_WHOLE = "concat_ws(chr(10), content, 'Symbols: ' || nullif(symbols, ''), 'Schema: ' || nullif(schema_text, ''))"
+
+
+@reg(
+    "semantic_text",
+    f"""SELECT file_id, generation, CASE WHEN strlen(text) <= 65536 THEN text ELSE left(text, CAST(list_max(list_filter(range(16384, 65537), lambda n: strlen(left(text, n)) <= 65536)) AS BIGINT)) END AS text
+FROM (SELECT file_id, generation, {_WHOLE} AS text FROM (SELECT DISTINCT * FROM search_docs))""",
+)
 def semantic_text(t: Tables) -> DataFrame:
-    text = F.concat_ws("\n", "content", F.concat(F.lit("Symbols: "), F.nullif("symbols", F.lit(""))), F.concat(F.lit("Schema: "), F.nullif("schema_text", F.lit(""))))
-    return t.search_docs.distinct().select("file_id", "generation", F.substring(text, 1, 65536).alias("text"))
+    whole = F.concat_ws("\n", "content", F.concat(F.lit("Symbols: "), F.nullif("symbols", F.lit(""))), F.concat(F.lit("Schema: "), F.nullif("schema_text", F.lit(""))))
+    return t.search_docs.distinct().select("file_id", "generation", X.cut_bytes(whole, 65536).alias("text"))
 
 
 @reg("l2_normalize", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE / greatest(sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 1e-12))), 6) AS s FROM embeddings")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import work_folder
 from ..sources.files import scan, scan_tolerant_jsonl
 from ..streaming import events as E
 from .registry import Registry, Tables
@@ -17,7 +17,7 @@ reg = Registry()
 
 def _stored(df: DataFrame, kind: str) -> str:
     """The rows of a given table as text files of a format, in the shared folder."""
-    path = f"{shared_folder(df.sparkSession)}/scan-{uuid.uuid4().hex}.{kind}"
+    path = f"{work_folder(df.sparkSession)}/scan-{uuid.uuid4().hex}.{kind}"
     if kind in ("csv", "tsv"):
         df.write.option("header", True).option("sep", "\t" if kind == "tsv" else ",").option("escape", '"').csv(path)
     else:
@@ -48,7 +48,7 @@ def scan_jsonl(t: Tables) -> DataFrame:
 @reg("scan_json", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def scan_json(t: Tables) -> DataFrame:
     """Whole documents: the nations of a region as one array."""
-    path = f"{shared_folder(t.spark)}/scan-{uuid.uuid4().hex}.json"
+    path = f"{work_folder(t.spark)}/scan-{uuid.uuid4().hex}.json"
     listed = t.nation.groupBy("n_regionkey").agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey"))).alias("value"))
     listed.select("value").repartition("value").write.option("maxRecordsPerFile", 1).text(path)
     return scan(t.spark, path, "n_nationkey int, n_name string, n_regionkey int")
@@ -65,7 +65,7 @@ def scan_audit_jsonl(t: Tables) -> DataFrame:
 @reg("sink_snapshot", "SELECT generation, count(*) AS n, count(DISTINCT file_id) AS files FROM search_docs GROUP BY generation")
 def sink_snapshot(t: Tables) -> DataFrame:
     """Generations as partitions: a reader of one generation reads its folder alone."""
-    path = f"{shared_folder(t.spark)}/snapshot-{uuid.uuid4().hex}"
+    path = f"{work_folder(t.spark)}/snapshot-{uuid.uuid4().hex}"
     t.search_docs.select("file_id", "path", "generation").repartition("generation").write.partitionBy("generation").parquet(path)
     back = t.spark.read.parquet(path).withColumn("generation", F.col("generation").cast("long"))
     return back.groupBy("generation").agg(F.count("*").alias("n"), F.countDistinct("file_id").alias("files"))
@@ -73,7 +73,7 @@ def sink_snapshot(t: Tables) -> DataFrame:
 
 @reg("sink_audit_log", "SELECT status, count(*) AS n FROM audit_records GROUP BY status")
 def sink_audit_log(t: Tables) -> DataFrame:
-    path = f"{shared_folder(t.spark)}/log-{uuid.uuid4().hex}"
+    path = f"{work_folder(t.spark)}/log-{uuid.uuid4().hex}"
     t.audit_records.select("tool", "status").write.mode("append").json(path)
     return t.spark.read.schema("tool string, status string").json(path).groupBy("status").agg(F.count("*").alias("n"))
 

@@ -34,22 +34,42 @@ def local_session(cores: int | str = 8, app: str = "tessera", memory: str = "6g"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: the session's checkpoint folder; a temporary one only where none is set."""
+    """The folder all executors share: the session's checkpoint folder.
+
+    Where the session names none, a local session (one machine, as in tests) gets a temporary one;
+    a cluster gets an error, as rows written to the disk of one machine would be lost to the others.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
     own = os.path.join(tempfile.mkdtemp(prefix="tessera-"), "shared")
     spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def work_folder(spark: SparkSession) -> str:
+    """This application's own part of the shared folder; Hadoop removes it when the driver's JVM ends."""
+    sc = spark.sparkContext
+    base = f"{shared_folder(spark)}/tessera-{sc.applicationId}"
+    known: set[str] = sc.__dict__.setdefault("_tessera_folders", set())
+    if base not in known:
+        path = sc._jvm.org.apache.hadoop.fs.Path(base)
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        known.add(base)
+    return base
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import work_folder
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,30 +25,38 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def drained(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Run a stream until it has read all there is, and read back what it wrote."""
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    base = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def drained_batches(stream: DataFrame, label: str, fold: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame | None:
+def drained_batches(stream: DataFrame, label: str, fold: Callable[[DataFrame | None, DataFrame], DataFrame], base: str | None = None) -> DataFrame | None:
     """Fold micro-batches into a state table: each batch reads the last version and writes the next.
 
-    A batch that is run again writes the same version again, so a restart does no harm.
+    Versions are numbered by the batch that wrote them and found on disk, so a query that starts
+    anew from the checkpoint in ``base`` goes on with the last whole version; a batch that is run
+    again reads the version before it and overwrites its own. Only finished versions count.
     """
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    last: list[str] = []
+    base = base or f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        state = spark.read.parquet(last[-1]) if last else None
-        target = f"{base}/version-{epoch}"
-        fold(state, batch).write.mode("overwrite").parquet(target)
-        last.append(target)
+        state = _version(spark, base, below=epoch)
+        fold(state, batch).write.mode("overwrite").parquet(f"{base}/version={epoch}")
 
     query = stream.writeStream.option("checkpointLocation", f"{base}/state").foreachBatch(apply).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(last[-1]) if last else None
+    return _version(spark, base)
+
+
+def _version(spark: SparkSession, base: str, below: int | None = None) -> DataFrame | None:
+    """The last finished version of a fold's state, or the last before ``below``."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/version=*/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    numbers = [int(f.getPath().getParent().getName().split("=")[1]) for f in found or []]
+    fit = [n for n in numbers if below is None or n < below]
+    return spark.read.parquet(f"{base}/version={max(fit)}") if fit else None
 
 
 def fold_queue(state: DataFrame | None, batch: DataFrame) -> DataFrame:

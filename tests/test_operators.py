@@ -86,23 +86,124 @@ def test_current_content_takes_the_files_generation(spark):
     assert [tuple(r) for r in current_content(files, docs).select("file_id", "extension", "content").collect()] == [(1, "py", "new")]
 
 
-def test_text_readers(spark):
-    docs = spark.createDataFrame([(1, "---\nname: deploy\ndescription: how to\n---\n# Head\nsee [x](b.md) and [y](https://z)"), (2, ""), (3, "# only")], "doc_id long, text string").withColumn("path", F.lit("/p"))
+def test_front_matter(spark):
+    texts = ["---\nname: deploy\ndescription: \"how  to\"\n---\n# Head\nsee [x](b.md#y) and [y](https://z)", "", "# only ##", "---\nname: a\nodd line\n---\nx", "---\nname: never closed"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("path", F.lit("/p"))
     got = {r["doc_id"]: r for r in agent_metadata(docs, "doc_id", "path", "text").collect()}
-    assert (got[1]["name"], got[1]["headings"], got[1]["links"]) == ("deploy", ["Head"], ["b.md"])
-    assert got[2]["status"] == "no_frontmatter" and got[3]["headings"] == ["only"]
-    sql = spark.createDataFrame([(1, "select ';' from t; -- a;b\ninsert into x values (1); "), (2, None)], "file_id long, content string")
-    assert [r["body"] for r in sql_sections(sql).orderBy("part").collect()] == ["select ';' from t;", "-- a;b\ninsert into x values (1);"]
-    long = spark.createDataFrame([(1, "\n".join(f"line {i} " + "x" * 60 for i in range(200))), (2, "")], "file_id long, content string")
-    chunks = chunk_lines(long).collect()
-    assert {r["file_id"] for r in chunks} == {1} and max(len(r["body"]) for r in chunks) < 3_800
-    keys = json_key_paths(spark.createDataFrame([(1, '{"a": {"b": [{"c": 1}]}}'), (2, "no")], "file_id long, content string"))
-    assert {r["key_path"] for r in keys.collect()} == {"a", "a.b"}
-    code = spark.createDataFrame([(1, "py", "class A:\n    def f(self):\n        pass\n"), (2, "py", "def ("), (3, "go", "func (a *T) Run() {\n}\n"), (4, "rs", "pub fn go() {}\n")], "file_id long, extension string, content string")
-    assert {(r["file_id"], r["name"], r["line_start"]) for r in symbols_of(code).collect()} == {(1, "A", 1), (1, "f", 2), (3, "Run", 1), (4, "go", 1)}
-    args = spark.createDataFrame([(1, '{"api_key": "v", "q": "Bearer abcdefghij", "deep": {"token": "x"}}'), (2, "oops"), (3, None)], "i int, j string")
+    assert (got[0]["name"], got[0]["description"], got[0]["headings"], got[0]["links"]) == ("deploy", "how to", ["Head"], ["b.md"])
+    assert [got[i]["status"] for i in range(5)] == ["parsed", "no_frontmatter", "no_frontmatter", "malformed", "no_frontmatter"]
+    assert got[2]["headings"] == ["only"] and got[3]["name"] is None
+
+
+def test_sql_sections_follow_statements_and_named_queries(spark):
+    script = "WITH\na AS (\n  SELECT ';(' FROM t -- (\n),\nb AS (\nSELECT 1\n)\nSELECT * FROM a\nINSERT INTO x\nSELECT 2\nCREATE TABLE y"
+    sql = spark.createDataFrame([(1, script), (2, None), (3, ""), (4, "  \n")], "file_id long, content string")
+    got = [(r["file_id"], r["part"], r["body"]) for r in sql_sections(sql).orderBy("file_id", "part").collect()]
+    assert got == [(1, 0, "WITH\na AS (\n  SELECT ';(' FROM t -- (\n),"), (1, 1, "b AS (\nSELECT 1\n)"), (1, 2, "SELECT * FROM a"), (1, 3, "INSERT INTO x\nSELECT 2"), (1, 4, "CREATE TABLE y")]
+
+
+def test_chunks_are_runs_of_lines(spark):
+    plain = [f"line {i} " + "x" * (i % 70) for i in range(300)]
+    with_heads = [("def f" if i % 9 == 0 else "  y") + str(i) + "z" * 40 for i in range(200)]
+    texts = ["\n".join(plain), "\r\n".join(with_heads) + "\n", "", "short", None, " \n\n", "w" * 9000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "file_id long, content string")
+    got: dict[int, list[str]] = {}
+    for r in chunk_lines(docs).orderBy("file_id", "part").collect():
+        got.setdefault(r["file_id"], []).append(r["body"])
+    assert set(got) == {0, 1, 3, 6} and got[3] == ["short"] and got[6] == ["w" * 9000, "w" * 9000]
+    for n, lines in ((0, plain), (1, with_heads)):
+        at = 0
+        for k, body in enumerate(got[n]):
+            part = body.split("\n")
+            start = next(i for i in range(len(lines)) if lines[i].strip() == part[0].strip() and i >= at)
+            assert [x.strip() for x in lines[start : start + len(part)]] == [x.strip() for x in part]
+            stop = start + len(part)
+            size = sum(len(x) + 1 for x in lines[start:stop])
+            if stop < len(lines):
+                # cut at twice the size, or before a structure once the size is reached
+                assert size >= 3600 and size - len(lines[stop - 1]) - 1 < 3600 or size >= 1800 and lines[stop].startswith("def ")
+            if k:
+                assert start == at
+            at = max(start, stop - 3)
+        assert stop == len(lines)
+
+
+def test_symbols_of_lines(spark):
+    code = [
+        (1, "py", "import os\nclass A:\n    def f(self):\n        pass\n\n    x = 1\ny = A()\n"),
+        (2, "go", 'package p\nimport "fmt"\ntype T struct {\n}\nfunc (a *T) Run() {\n\tfmt.Println(go(1))\n}\n'),
+        (3, "rs", "use std::fs;\n// fn no() {}\npub(crate) async fn go<T>(x: T) {\n    run(x);\n}\nstruct S;\n"),
+        (4, "js", "function f() {}"),
+        (5, "py", None),
+    ]
+    df = spark.createDataFrame(code, "file_id long, extension string, content string")
+    got = {(r["file_id"], r["kind"], r["name"], r["line_start"], r["line_end"]) for r in symbols_of(df).collect()}
+    assert got == {
+        (1, "import", "os", 1, 1), (1, "class", "A", 2, 6), (1, "function", "f", 3, 4),
+        (2, "import", '"fmt"', 2, 2), (2, "type", "T", 3, 4), (2, "method", "Run", 5, 7), (2, "call", "fmt.Println", 6, 6),
+        (3, "import", "std::fs", 1, 1), (3, "function", "go", 3, 5), (3, "call", "run", 4, 4), (3, "struct", "S", 6, 6),
+    }
+
+
+def test_json_key_paths(spark):
+    texts = ['{"a": {"b": {"c": {"d": {"e": 1}}}}, "l": [{"x": 1}, {"y": 2}]}', "no", None, "[]", json.dumps({f"k{i:03}": i for i in range(90)})]
+    got: dict[int, set[str]] = {}
+    for r in json_key_paths(spark.createDataFrame(list(enumerate(texts)), "file_id long, content string")).collect():
+        got.setdefault(r["file_id"], set()).add(r["key_path"])
+    assert got == {0: {"a", "a.b", "a.b.c", "a.b.c.d", "l", "l[].x"}, 4: {f"k{i:03}" for i in range(80)}}
+
+
+def test_redacted_json(spark):
+    deep = {"a": {"b": {"c": {"d": {"e": 1, "client-secret": "s"}}}}}
+    cases = [
+        ({"query": "authorization: Bearer abcdefghijk token=top-secret sk-abcdefghijk"}, {"query": "authorization: [REDACTED] token=[REDACTED]"}),
+        ({"note": 'password=hunter2xyz, api_key: "a b"'}, {"note": "password=[REDACTED], api_key: [REDACTED]"}),
+        ({"API-Key": {"x": 1}, "my_token": 3, "tokens": 4}, {"API-Key": "[REDACTED]", "my_token": "[REDACTED]", "tokens": 4}),
+        (deep, {"a": {"b": {"c": {"d": {"e": "[TRUNCATED:depth]", "client-secret": "[REDACTED]"}}}}}),
+        (list(range(18)), [*range(16), {"omitted_items": 2}]),
+        ({f"f{i:02}": i for i in range(34)}, {**{f"f{i:02}": i for i in range(32)}, "_omitted_fields": 2}),
+        ({"t": "y" * 2050}, {"t": "y" * 2048 + "[TRUNCATED]"}),
+        (None, None),
+        ("Bearer abcdefghij", "Bearer [REDACTED]"),
+    ]
+    args = spark.createDataFrame([*((i, json.dumps(given)) for i, (given, _) in enumerate(cases)), (90, "oops"), (91, None), (92, "[" * 100_000)], "i int, j string")
     red = {r["i"]: r["j"] for r in redact_json(args, "j").collect()}
-    assert json.loads(red[1]) == {"api_key": "[REDACTED]", "q": "Bearer [REDACTED]", "deep": {"token": "[REDACTED]"}} and red[2] is None and red[3] is None
+    assert [json.loads(red[i]) for i in range(len(cases))] == [want for _, want in cases]
+    assert red[90] is None and red[91] is None and red[92] is None
+
+
+def test_cut_at_bytes_keeps_characters(spark):
+    for text in ("abc", "aé", "ab日本", "x👩y", ""):
+        for most in range(4, 9):
+            want = text.encode()[:most].decode(errors="ignore")
+            assert one(spark, X.cut_bytes(F.lit(text), most)) == want, (text, most)
+
+
+def test_folding_goes_on_after_a_restart(spark, tmp_path):
+    from tessera.streaming.events import drained_batches, fold_queue
+
+    schema = "key long, received timestamp, priority int"
+    source = tmp_path / "in"
+    at = dt.datetime(2026, 1, 1)
+    for n, rows in enumerate([[(1, at, 0), (2, at, 1)], [(1, at, 2)]]):
+        # a new query each time, which knows of the first only what is on disk
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+        state = drained_batches(spark.readStream.schema(schema).parquet(str(source)), "queue", fold_queue, base=str(tmp_path / "fold"))
+        got = {r["key"]: (r["revision"], r["priority"]) for r in state.collect()}
+        assert got == [{1: (1, 0), 2: (1, 1)}, {1: (2, 2), 2: (1, 1)}][n]
+
+
+def test_a_cluster_must_name_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from tessera.session import shared_folder, work_folder
+
+    no_folder = SimpleNamespace(isDefined=lambda: False)
+    jsc = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: no_folder))
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(_jsc=jsc, master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_folder(cluster)
+    assert work_folder(spark) == work_folder(spark)
 
 
 def test_bounded_sql(spark, tmp_path):
