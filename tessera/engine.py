@@ -10,6 +10,7 @@ from .operators.catalog import classify_changes
 from .operators.joins import ancestors
 from .plans.registry import Tables
 from .plans.retrieval_queries import DIMS, current_docs
+from .session import written
 from .sources.files import Bounded, bounded_sql
 
 
@@ -39,16 +40,13 @@ class Workspace:
             raise ValueError("limit must be 1 to 50")
         asked = self.spark.createDataFrame([(0, queries)], "query_id long, query string") if isinstance(queries, str) else queries.select("query_id", "query")
         docs = self.docs(roots, kinds, path_prefix)
-        lanes = {
-            "path": R.bm25_lane(docs, asked, F.concat_ws(" ", "path", "name", "experiment"), depth),
-            "content": R.bm25_lane(docs, asked, F.col("content"), depth),
-            "symbol": R.bm25_lane(docs, asked, F.col("symbols"), depth),
-            "schema": R.bm25_lane(docs, asked, F.col("schema_text"), depth),
-        }
+        docs = written(docs, "docs-in-scope")
+        texts = {"path": F.concat_ws(" ", "path", "name", "experiment"), "content": F.col("content"), "symbol": F.col("symbols"), "schema": F.col("schema_text")}
+        lanes = [R.lane_ranks(R.posting_index(docs, texts), asked.select("query_id", "query", F.explode(F.array(*map(F.lit, texts))).alias("lane")), depth)]
         if vectors is not None:
             inside = self.tables.chunks.join(docs.select("file_id"), "file_id", "left_semi")
-            lanes["semantic"] = R.vector_lane(inside, vectors, depth, DIMS)
-        hits = R.boosted(R.fuse(lanes), asked, docs, self.tables.symbols, R.exact_path_lane(docs, asked))
+            lanes.append(R.vector_lane(inside, vectors, depth, DIMS).withColumn("lane", F.lit("semantic")))
+        hits = R.boosted(R.fuse(*lanes), asked, docs, self.tables.symbols, R.exact_path_lane(docs, asked))
         top = R.diversify(R.collapse_copies(hits), min(limit, 20))
         return top.join(docs.select("file_id", F.substring("content", 1, preview_chars).alias("preview")), "file_id").select("query_id", "rank", "file_id", "path", "score", "lanes", "copies", "preview")
 
@@ -62,8 +60,8 @@ class Workspace:
         excerpt = F.array_join(numbered_lines(F.col("content"), start_line, max_lines), "")
         return doc.join(symbols, "file_id", "left").select("file_id", "path", "kind", "generation", "content_hash", "outline", excerpt.alias("excerpt"))
 
-    def query(self, sql: str, inputs: dict[str, str], roots: list[str], max_rows: int = 100, max_bytes: int = 1 << 20) -> Bounded:
-        return bounded_sql(self.spark, sql, inputs, roots, max_rows, max_bytes)
+    def query(self, sql: str, inputs: dict[str, str], roots: list[str], max_rows: int = 100, max_bytes: int = 1 << 20, timeout_ms: int = 30_000) -> Bounded:
+        return bounded_sql(self.spark, sql, inputs, roots, max_rows, max_bytes, timeout_ms)
 
     def changes(self, listing: DataFrame) -> DataFrame:
         """The state of every path of the catalog and of a listing of (path, size, hash)."""

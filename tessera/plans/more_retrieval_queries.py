@@ -10,7 +10,7 @@ from ..operators import retrieval as R
 from ..operators.joins import ancestors, longest_prefix_owner
 from ..sources.files import scan_tree
 from .registry import Registry, Tables
-from .retrieval_queries import _DOCS, _LEX, _VECTOR, _fused_sql, _lane, _lane_sql, asked, current_docs, lane, semantic
+from .retrieval_queries import _DOCS, _LEX, _VECTOR, _fused_sql, _lane, _lane_sql, asked, current_docs, lane, lanes, semantic, stored_docs
 from .telemetry_queries import _GOLD, _R, _gold, records
 
 reg = Registry()
@@ -187,8 +187,7 @@ def vector_rank_eval(t: Tables) -> DataFrame:
 
 @reg("rrf_two_list", f"WITH {_DOCS}, {_lane_sql('path')}, {_lane_sql('content')}, {_fused_sql(('path', 'content'))} SELECT query_id, file_id, score FROM fused")
 def rrf_two_list(t: Tables) -> DataFrame:
-    docs = current_docs(t)
-    return R.fuse({n: lane(t, n, docs) for n in ("path", "content")}).select("query_id", "file_id", "score")
+    return R.fuse(lanes(("path", "content"), stored_docs(t))).select("query_id", "file_id", "score")
 
 
 @reg(
@@ -197,7 +196,7 @@ def rrf_two_list(t: Tables) -> DataFrame:
 )
 def exp_hybrid_eval(t: Tables) -> DataFrame:
     docs = current_docs(t)
-    fused = R.best(R.fuse({"path": lane(t, "path", docs), "semantic": semantic(t)}), 10)
+    fused = R.best(R.fuse(lanes(("path",), docs), semantic(t).withColumn("lane", F.lit("semantic"))), 10)
     return _quality(fused, docs).groupBy("query_id").agg(F.round(F.count("rank") / F.count("*"), 6).alias("recall"))
 
 

@@ -47,7 +47,7 @@ def _lane(name: str, text: str, where: str = "true", query: str = "query", asked
 {name}_s AS (SELECT count(*) AS n_docs, avg(len(toks)) AS mean FROM {name}_t),
 {name}_q AS (SELECT query_id, unnest(list_distinct({_TOKENS.format(query)})) AS tok FROM queries WHERE {asked_where}),
 {name}_p AS (SELECT file_id, len, tok, count(*) AS tf FROM (SELECT file_id, len(toks) AS len, unnest(toks) AS tok FROM {name}_t) WHERE tok IN (SELECT tok FROM {name}_q) GROUP BY ALL),
-{name}_w AS (SELECT tok, mean, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT tok, count(*) AS df FROM {name}_p GROUP BY tok), {name}_s WHERE df <= {R.STOP_SHARE} * n_docs),
+{name}_w AS (SELECT tok, mean, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT tok, count(*) AS df FROM {name}_p GROUP BY tok), {name}_s),
 {name}_x AS (SELECT query_id, file_id, round(sum(idf * tf * {R.K1 + 1} / (tf + {R.K1} * (1 - {R.B} + {R.B} * len / mean))), 6) AS score FROM {name}_q JOIN {name}_w USING (tok) JOIN {name}_p USING (tok) GROUP BY ALL),
 {name}_lane AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_id) AS rank FROM {name}_x) WHERE rank <= {DEPTH})"""
 
@@ -62,13 +62,19 @@ _TEXTS = {
 }
 
 
+def lanes(names: tuple[str, ...], docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(lane, query_id, file_id, score, rank) of the lanes named: one index and one ranking for all."""
+    read = {n: (F.endswith("name", F.lit(".sql")), F.concat_ws(" ", "path", "name", "content", "schema_text")) if n == "sql" else F.expr(_TEXTS[n]) for n in names}
+    queries = asked(docs)
+    wanted = F.array(*map(F.lit, names))
+    if "sql" in names:
+        wanted = F.when(X.is_sql_query(F.col("query")), wanted).otherwise(F.array_remove(wanted, "sql"))
+    rows = queries.select("query_id", "query", F.explode(wanted).alias("lane"))
+    return R.lane_ranks(R.posting_index(docs, read), rows.withColumn("query", F.when(F.col("lane") == "sql", X.expand_sql_query(F.col("query"))).otherwise(F.col("query"))), depth)
+
+
 def lane(t: Tables, name: str, docs: DataFrame | None = None) -> DataFrame:
-    docs = current_docs(t) if docs is None else docs
-    if name == "sql":
-        scripts = docs.where(F.col("name").endswith(".sql"))
-        want = asked(docs).where(X.is_sql_query(F.col("query"))).select("query_id", X.expand_sql_query(F.col("query")).alias("query"))
-        return R.bm25_lane(scripts, want, F.concat_ws(" ", "path", "name", "content", "schema_text"), DEPTH)
-    return R.bm25_lane(docs, asked(docs), F.expr(_TEXTS[name]), DEPTH)
+    return lanes((name,), current_docs(t) if docs is None else docs).drop("lane")
 
 
 def _lane_sql(name: str) -> str:
@@ -127,13 +133,12 @@ _ALL_LANES = ", ".join(_lane_sql(n) for n in _LANES)
 
 @reg("rrf_fuse", f"WITH {_DOCS}, {_ALL_LANES}, {_fused_sql(_LANES)} SELECT * FROM fused")
 def rrf_fuse(t: Tables) -> DataFrame:
-    docs = stored_docs(t)
-    return R.fuse({n: lane(t, n, docs) for n in _LANES})
+    return R.fuse(lanes(_LANES, stored_docs(t)))
 
 
 @reg("semantic_merge", f"WITH {_DOCS}, {_lane_sql('content')}, {_VECTOR}, {_fused_sql(('content', 'semantic'))} SELECT * FROM fused")
 def semantic_merge(t: Tables) -> DataFrame:
-    return R.fuse({"content": lane(t, "content"), "semantic": semantic(t)})
+    return R.fuse(lanes(("content",), stored_docs(t)), semantic(t).withColumn("lane", F.lit("semantic")))
 
 
 _TERMS = r"""terms AS (SELECT query_id, unnest(list_distinct(list_transform(list_filter(ws, lambda w: length(w) >= 2 AND (len(ws) = 1 OR contains(w, '_') OR contains(w, '::') OR regexp_matches(w, '^..*[A-Z]') OR regexp_matches(w, '\d'))), lambda w: lower(w)))) AS term
@@ -160,7 +165,7 @@ _HYBRID = f"{_DOCS}, {_ALL_LANES}, {_VECTOR}, {_fused_sql((*_LANES, 'semantic'))
 
 def candidates(t: Tables, docs: DataFrame) -> DataFrame:
     queries = asked(docs)
-    fused = R.fuse({**{n: lane(t, n, docs) for n in _LANES}, "semantic": semantic(t)})
+    fused = R.fuse(lanes(_LANES, docs), semantic(t).withColumn("lane", F.lit("semantic")))
     return R.boosted(fused, queries, docs, t.symbols, R.exact_path_lane(docs, queries))
 
 
@@ -267,20 +272,36 @@ def dedup_memory(t: Tables) -> DataFrame:
     return kept.union(d.where("h IS NULL").select("doc_id"))
 
 
+#: Shards of the corpus, and hits that each gives.
+_SHARDS, _SHARD_HITS = 4, 200
+_SHARED_LANES = ("path", "content")
+_SHARD_SQL = ", ".join(_lane(f"{n}{k}", _TEXTS[n], where=f"root_id % {_SHARDS} = {k}") for n in _SHARED_LANES for k in range(_SHARDS))
+_SHARD_ROWS = " UNION ALL ".join(f"SELECT {k} AS shard, '{n}' AS lane, {R.WEIGHTS[n]}::DOUBLE AS weight, query_id, file_id, score, rank FROM {n}{k}_lane" for n in _SHARED_LANES for k in range(_SHARDS))
+
+
 @reg(
     "federated_search",
-    f"""WITH {_DOCS}, {_lane_sql('content')}, shard AS (SELECT c.query_id, c.file_id, c.score, d.root_id % 4 AS shard, d.path FROM content_x c JOIN docs d USING (file_id)),
-local AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, shard ORDER BY score DESC, path) AS k FROM shard) WHERE k <= 20)
-SELECT query_id, file_id, round(1.0 / ({R.RRF_K} + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path)), 9) AS score FROM local""",
+    f"""WITH {_DOCS}, {_SHARD_SQL}, hit AS ({_SHARD_ROWS}),
+own AS (SELECT shard, query_id, file_id, round(sum(weight / ({R.RRF_K} + rank)), 9) AS score FROM hit GROUP BY ALL),
+given AS (SELECT query_id, file_id FROM (SELECT *, row_number() OVER (PARTITION BY shard, query_id ORDER BY score DESC, file_id) AS k FROM own) WHERE k <= {_SHARD_HITS}),
+again AS (SELECT query_id, file_id, weight / ({R.RRF_K} + row_number() OVER (PARTITION BY lane, query_id ORDER BY score DESC, file_id)) AS part FROM hit JOIN given USING (query_id, file_id))
+SELECT query_id, file_id, round(sum(part), 9) AS score FROM again GROUP BY ALL""",
 )
 def federated_search(t: Tables) -> DataFrame:
-    """Each shard gives its best; their union is ranked anew, so a shard's local ranks do not count."""
-    docs = stored_docs(t)
-    every = R.bm25_lane(docs, asked(docs), F.col("content"), 1 << 30).drop("rank")
-    placed = every.join(docs.select("file_id", "path", (F.col("root_id") % 4).alias("shard")), "file_id")
-    local = placed.withColumn("k", F.row_number().over(Window.partitionBy("query_id", "shard").orderBy(F.col("score").desc(), "path"))).where("k <= 20")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "path"))
-    return local.select("query_id", "file_id", F.round(1.0 / (R.RRF_K + rank), 9).alias("score"))
+    """Each shard ranks by its own statistics and gives its best hits with their scores by lane; every lane is
+    then ranked anew over the union, so that a shard's local ranks do not count. A lane of a shard is a lane."""
+    docs = stored_docs(t).withColumn("shard", (F.col("root_id") % _SHARDS).cast("string"))
+    read = {f"{n}/{k}": (F.col("shard") == str(k), F.expr(_TEXTS[n])) for n in _SHARED_LANES for k in range(_SHARDS)}
+    queries = asked(docs).select("query_id", "query", F.explode(F.array(*map(F.lit, read))).alias("lane"))
+    hits = R.lane_ranks(R.posting_index(docs, read), queries, DEPTH)
+    parted = written(hits.select(F.split("lane", "/")[0].alias("lane"), F.split("lane", "/")[1].alias("shard"), "query_id", "file_id", "score", "rank"), "shard-hits")
+    weight = F.element_at(F.create_map(*(F.lit(x) for n in _SHARED_LANES for x in (n, R.WEIGHTS[n]))), F.col("lane"))
+    own = parted.groupBy("shard", "query_id", "file_id").agg(F.round(F.sum(weight / (R.RRF_K + F.col("rank"))), 9).alias("score"))
+    first = Window.partitionBy("shard", "query_id").orderBy(F.col("score").desc(), "file_id")
+    given = own.withColumn("k", F.row_number().over(first)).where(F.col("k") <= _SHARD_HITS).select("query_id", "file_id")
+    again = Window.partitionBy("lane", "query_id").orderBy(F.col("score").desc(), "file_id")
+    ranked_again = parted.join(given, ["query_id", "file_id"]).withColumn("part", weight / (R.RRF_K + F.row_number().over(again)))
+    return ranked_again.groupBy("query_id", "file_id").agg(F.round(F.sum("part"), 9).alias("score"))
 
 
 @reg("unmatched_filenames", f"WITH {_DOCS} SELECT DISTINCT name AS anchor FROM files WHERE regexp_matches(name, '^.+[.][A-Za-z]{{1,12}}$') AND name NOT IN (SELECT name FROM docs)")

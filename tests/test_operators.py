@@ -75,7 +75,7 @@ def test_copies_collapse_by_name_and_content(spark):
 def test_bm25_handles_empty_and_null(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["alpha beta", None, "", "beta beta gamma", "delta", "x", "y", "z", "w", "v", "u"])], "file_id long, content string")
     queries = spark.createDataFrame([(1, "beta"), (2, None), (3, "")], "query_id long, query string")
-    got = R.bm25_lane(docs, queries, F.col("content"), 5, stop_share=0.9).orderBy("rank").collect()
+    got = R.bm25_lane(docs, queries, F.col("content"), 5).orderBy("rank").collect()
     assert [(r["query_id"], r["file_id"]) for r in got] == [(1, 3), (1, 0)]
 
 
@@ -208,17 +208,67 @@ def test_a_cluster_must_name_a_shared_folder(spark):
 
 def test_bounded_sql(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "metrics.csv").write_text("model,score\na,0.5\nb,0.9\n")
-    inputs = {"metrics": str(tmp_path / "in" / "metrics.csv")}
-    got = bounded_sql(spark, "SELECT model FROM metrics ORDER BY score DESC;", inputs, [str(tmp_path)], max_rows=1)
+    (tmp_path / "in" / "metrics.csv").write_text("model,score\na,0.5\nb,0.9\nc,0.7\n")
+    (tmp_path / "out.csv").write_text("x\n1\n")
+    inputs, roots = {"Metrics": str(tmp_path / "in" / "metrics.csv")}, [str(tmp_path / "in")]
+    got = bounded_sql(spark, "SELECT model FROM metrics ORDER BY score DESC;", inputs, roots, max_rows=1)
     assert (got.rows, got.truncated) == ([("b",)], True)
-    for bad in ("CREATE TABLE x AS SELECT 1", "SELECT * FROM parquet.`/etc`", "SELECT reflect('java.lang.System', 'getenv', 'HOME')"):
-        with pytest.raises(ValueError, match="only SELECT"):
-            bounded_sql(spark, bad, inputs, [str(tmp_path)])
+    assert bounded_sql(spark, "SELECT model FROM metrics ORDER BY 1", inputs, roots, max_bytes=12).rows == [("a",), ("b",)]
+    fine = [
+        "WITH top AS (SELECT * FROM metrics WHERE score > 0.6), more AS (SELECT * FROM top) SELECT count(*) FROM more",
+        "SELECT (SELECT count(*) FROM metrics WHERE score > 0.6) -- parquet.`/etc`",
+        "SELECT count(*) FROM metrics WHERE model IN (SELECT model FROM metrics WHERE score > 0.6) AND EXISTS (SELECT 1 FROM `metrics`)",
+        "VALUES (2)",
+        "SELECT 'reflect(' || '' AS n, 2 FROM metrics LIMIT 1",
+        "SELECT sum(n) FROM (SELECT 1 AS n UNION ALL SELECT 1)",
+        "SELECT row_number() OVER (ORDER BY score) FROM metrics ORDER BY 1 LIMIT 1 OFFSET 1",
+    ]
+    for text in fine:
+        assert bounded_sql(spark, text, inputs, roots).rows[0][-1] == 2, text
+    bad = [
+        "CREATE TABLE x AS SELECT 1",
+        "INSERT INTO metrics SELECT 1",
+        "SET spark.sql.ansi.enabled = false",
+        "EXECUTE IMMEDIATE 'SELECT 1'",
+        f"SELECT * FROM parquet.`{tmp_path}`",
+        f"SELECT * FROM `csv` . `{tmp_path}/out.csv`",
+        f"SELECT * FROM /* x */ `csv`/**/.`{tmp_path}/out.csv`",
+        f"SELECT * FROM metrics WHERE score > (SELECT max(x) FROM csv.`{tmp_path}/out.csv`)",
+        f"SELECT * FROM metrics WHERE EXISTS (SELECT 1 FROM csv.`{tmp_path}/out.csv`)",
+        f"SELECT * FROM metrics WHERE model IN (SELECT _c0 FROM csv.`{tmp_path}/out.csv`)",
+        f"WITH a AS (SELECT * FROM csv.`{tmp_path}/out.csv`) SELECT * FROM a",
+        f"SELECT * FROM metrics, LATERAL (SELECT * FROM csv.`{tmp_path}/out.csv`)",
+        "SELECT * FROM other",
+        "WITH a AS (SELECT * FROM b), b AS (SELECT 1) SELECT * FROM a",
+        "SELECT * FROM default.metrics",
+        "SELECT * FROM IDENTIFIER('metrics')",
+        "SELECT * FROM range(3)",
+        "SELECT reflect('java.lang.System', 'getenv', 'HOME')",
+        "SELECT `try_reflect`('java.lang.System', 'getenv', 'HOME')",
+        "SELECT JAVA_METHOD /* x */ ('java.lang.System', 'getenv', 'HOME') FROM metrics ORDER BY 1",
+        "SELECT transform(array(1), x -> reflect('java.lang.System', 'getenv', 'HOME'))",
+        "SELECT model FROM metrics GROUP BY model HAVING input_file_name() <> ''",
+        "SELECT TRANSFORM(model) USING 'cat' FROM metrics",
+        "SELECT 1; SELECT 2",
+        "",
+    ]
+    for text in bad:
+        with pytest.raises(ValueError, match="only SELECT|no query"):
+            bounded_sql(spark, text, inputs, roots)
     with pytest.raises(ValueError, match="outside"):
-        bounded_sql(spark, "SELECT 1", inputs, [str(tmp_path / "other")])
+        bounded_sql(spark, "SELECT 1", {"o": str(tmp_path / "out.csv")}, roots)
     with pytest.raises(ValueError, match="alias"):
-        bounded_sql(spark, "SELECT 1", {"a-b": inputs["metrics"]}, [str(tmp_path)])
+        bounded_sql(spark, "SELECT 1", {"a-b": inputs["Metrics"]}, roots)
+    with pytest.raises(ValueError, match="limits"):
+        bounded_sql(spark, "SELECT 1", inputs, roots, max_rows=0)
+
+
+def test_bounded_sql_is_stopped(spark, tmp_path):
+    (tmp_path / "n.csv").write_text("n\n" + "\n".join(map(str, range(3000))))
+    slow = "SELECT count(*) FROM n a, n b, n c WHERE (a.n * b.n * c.n) % 7 = 3"
+    with pytest.raises(TimeoutError):
+        bounded_sql(spark, slow, {"n": str(tmp_path / "n.csv")}, [str(tmp_path)], timeout_ms=1500)
+    assert bounded_sql(spark, "SELECT count(*) FROM n", {"n": str(tmp_path / "n.csv")}, [str(tmp_path)]).rows == [(3000,)]
 
 
 def test_malformed_lines_are_counted(spark, tmp_path):
@@ -228,6 +278,48 @@ def test_malformed_lines_are_counted(spark, tmp_path):
     assert [(r["malformed"], r["lines"]) for r in bad.collect()] == [(1, 3)]
 
 
+def test_common_words_count_exactly(spark):
+    import math
+    import random
+
+    rng = random.Random(4)
+    words = ["the", "of", "a", *(f"w{i}" for i in range(40))]
+    texts = [" ".join(rng.choices(words, [40, 30, 20, *[1] * 40], k=rng.randrange(1, 30))) for _ in range(300)]
+    asked = ["the", "the of", "w1", "the w1 w2", "of a w3 w3", "the of a w4 w5 w6 w7", "none", "the none"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "file_id long, content string")
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    cut = [t.split() for t in texts]
+    mean = sum(map(len, cut)) / len(cut)
+    for depth in (3, 40):
+        got = R.bm25_lane(docs, queries, F.col("content"), depth).collect()
+        for n, query in enumerate(asked):
+            scores = {}
+            for i, t in enumerate(cut):
+                total = 0.0
+                for w in set(query.split()):
+                    df = sum(w in x for x in cut)
+                    total += math.log(1 + (len(cut) - df + 0.5) / (df + 0.5)) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / mean))
+                if total > 0:
+                    scores[i] = round(total, 6)
+            want = sorted(scores.items(), key=lambda e: (-e[1], e[0]))[:depth]
+            mine = sorted((r["rank"], r["file_id"], r["score"]) for r in got if r["query_id"] == n)
+            assert [(f, s) for _, f, s in mine] == [(f, pytest.approx(s, abs=2e-6)) for f, s in want], (query, depth)
+
+
+def test_vector_lane_in_blocks(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(rng.randrange(40), [rng.gauss(0, 1) for _ in range(4)]) for _ in range(300)] + [(77, None), (78, [0.0] * 4), (79, [1.0])]
+    asked = [(100 + i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(25)] + [(200, None)]
+    chunks = spark.createDataFrame(rows, "file_id long, vector array<double>")
+    queries = spark.createDataFrame(asked, "query_id long, vector array<double>")
+    whole = R.vector_lane(chunks, queries, 5, 4)
+    blocks = R.vector_lane(chunks, queries, 5, 4, query_block=4, row_block=50)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, blocks.collect()))
+    assert whole.count() == 125 and R.vector_lane(chunks, queries.limit(0), 5, 4).count() == 0
+
+
 def test_vector_lane_with_many_rows_of_one_file(spark):
     # file 1 has more near rows in the batch than any multiple of the depth; the others come after it
     rows = [(1, [1.0, 0.001 * i]) for i in range(200)] + [(f, [1.0, 1.0 + f]) for f in range(2, 7)]
