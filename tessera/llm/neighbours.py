@@ -3,40 +3,48 @@
 The upper cells of the tree are fitted on a bounded sample on the driver, the leaves of each
 cell in Spark on a share of all vectors, and every vector is indexed in one leaf. A query goes
 down the tree best bin first: a priority queue holds cells and leaves by the similarity of
-their centres. The number of leaves visited is widened until a set of sample queries, compared
-with brute force over all rows, reaches the recall asked for: a query takes every leaf whose
-centre is at most a calibrated margin less similar than the best, so one in the middle of a
-leaf visits that alone and one at an edge visits several.
+their centres. Two numbers decide how far it goes: a query takes the leaves whose centre is at
+most a margin less similar than the best, nearest first, up to a number of visits. Both are
+widened until a set of sample queries, compared with brute force over all rows, reaches the
+recall asked for; a second set, with which nothing was chosen, measures it.
 """
 
 from __future__ import annotations
 
 import heapq
+import logging
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
 
+LOG = logging.getLogger(__name__)
+
+#: The recall that the search is calibrated to.
+RECALL = 0.995
 #: Vectors of a leaf on average.
 LEAF_ROWS = 1024
 #: Sampled vectors per leaf that its cell is fitted on.
 LEAF_SAMPLE = 64
 #: Vectors the upper cells are fitted on, at most (a bounded sample, chosen by hash).
 TOP_SAMPLE = 8_192
-#: Centres in the whole tree, at most: it is sent to every executor (96 floats each, 58 MB).
+#: Centres in the whole tree, at most: it is sent to every executor (96 floats of 32 bits each, 58 MB).
 MAX_LEAVES = 150_000
-#: Sample queries for which brute force is run to calibrate the margin.
+#: Sample queries for which brute force is run to calibrate the search, and as many more to measure it.
 CALIBRATION_QUERIES = 512
 #: Cells a query opens at least, before its queue is followed.
 OPEN_CELLS = 4
 #: Leaves visited at most, to begin with: doubled until the recall asked for is reached, up to all leaves.
-MAX_VISITS = 64
+FIRST_VISITS = 64
+#: Vectors in 1,000,003 shares by hash, by which samples are taken.
+SHARES = 1_000_003
 
 
 def unit_rows(buffers: list[bytes]) -> np.ndarray:
@@ -71,9 +79,10 @@ class Tree:
     leaves: list[np.ndarray]
     first: list[int]
 
-    def visits(self, x: np.ndarray, margin: float, most: int = MAX_VISITS) -> list[list[tuple[int, float]]]:
-        """Per row the leaves (number, how much less similar than the best) that a best-bin-first search visits within ``margin``."""
+    def visits(self, x: np.ndarray, margin: float, most: int = FIRST_VISITS) -> list[list[tuple[int, float]]]:
+        """Per row the leaves (number, the least margin that reaches it) that a best-bin-first search visits within ``margin``."""
         out = []
+        x = x.astype(np.float32)
         for sims, q in zip(x @ self.cells.T, x, strict=True):
             cells = np.argsort(-sims, kind="stable").tolist()
             queue: list[tuple[float, int]] = []  # a cell c stands as -1 - c
@@ -87,21 +96,29 @@ class Tree:
             queue += [(-float(sims[c]), -1 - c) for c in cells[OPEN_CELLS:]]
             heapq.heapify(queue)
             seen: list[tuple[int, float]] = []
-            best = 0.0
+            best, need = 0.0, 0.0
             while queue and len(seen) < most:
                 away, at = heapq.heappop(queue)
-                if seen and away - best > margin:
-                    break
+                if seen:
+                    need = max(need, away - best)  # a cell on the way must be within the margin too
+                    if need > margin:
+                        break
                 if at < 0:
                     open_cell(-1 - at)
                     heapq.heapify(queue)
                     continue
                 best = best if seen else away
-                seen.append((at, away - best))
+                seen.append((at, need))
             out.append(seen)
         return out
 
 
+def _bytes(size: str) -> int:
+    """A size as Spark's settings write it, in bytes."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([kmgt]?)i?b?\s*", size.lower()).groups()
+    return max(1, int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit])
+
+
 def usable_vectors(df: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
     """(id, k1, k2, vec): rows whose vector has ``dims`` finite numbers, not all zero; 128 bits stand for a vector."""
     v = F.col(vector)
@@ -119,23 +136,26 @@ def _buffers(column: pa.Array) -> list[bytes]:
     return [raw[i * width : (i + 1) * width] for i in range(n)]
 
 
-def fit_tree(usable: DataFrame, leaf_rows: int = LEAF_ROWS) -> tuple[Tree, np.ndarray]:
-    """The tree and some sampled vectors to calibrate it with.
+def _share(usable: DataFrame, share: float, seed: int) -> DataFrame:
+    """About this share of the vectors, by hash; equal vectors are one."""
+    number = F.pmod(F.xxhash64(F.lit(seed), "k1", "k2"), F.lit(SHARES))
+    return usable.where(number <= int(share * SHARES)).select("k1", "k2", "vec").dropDuplicates(["k1", "k2"])
+
+
+def fit_tree(usable: DataFrame, total: int, leaf_rows: int = LEAF_ROWS) -> Tree:
+    """The tree over ``total`` vectors.
 
     Upper cells come from a bounded sample on the driver, the leaves of each cell from a share of
     all vectors in Spark; only centres (at most MAX_LEAVES) come back to the driver.
     """
-    total = usable.count()
     leaves = max(1, min(MAX_LEAVES, total // leaf_rows))
-    share = min(1.0, leaves * LEAF_SAMPLE / max(1, total))
-    sample = written(usable.where(F.pmod(F.col("k2"), F.lit(1_000_003)) <= int(share * 1_000_003)).select("k1", "k2", "vec"), "vector-sample")
-    rows = sample.dropDuplicates(["k1", "k2"]).orderBy("k1", "k2").limit(TOP_SAMPLE).select("vec").toPandas()
+    sample = written(_share(usable, min(1.0, leaves * LEAF_SAMPLE / max(1, total)), 3), "vector-sample")
+    rows = sample.orderBy("k1", "k2").limit(TOP_SAMPLE).select("vec").toPandas()
     if rows.empty:
-        return Tree(np.zeros((1, 1)), [np.zeros((1, 1))], [0]), np.zeros((0, 1))
-    top = unit_rows([np.asarray(v, dtype=np.float32).tobytes() for v in rows["vec"]])
-    cells = kmeans(top, max(1, round(leaves**0.5)))
+        return Tree(np.zeros((1, 1), np.float32), [np.zeros((1, 1), np.float32)], [0])
+    cells = kmeans(unit_rows([np.asarray(v, dtype=np.float32).tobytes() for v in rows["vec"]]), max(1, round(leaves**0.5)))
     shared = usable.sparkSession.sparkContext.broadcast(cells)
-    per_row = leaves / max(1.0, share * total)
+    per_row = leaves / max(1, sample.count())
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,13 +165,12 @@ def fit_tree(usable: DataFrame, leaf_rows: int = LEAF_ROWS) -> tuple[Tree, np.nd
                 yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), pa.array(raw, pa.binary())], names=["cell", "raw"])
 
     def split(rows: pd.DataFrame) -> pd.DataFrame:
-        x = unit_rows(list(dict.fromkeys(rows["raw"])))
-        centres = kmeans(x, max(1, round(len(rows) * per_row)))
+        centres = kmeans(unit_rows(rows["raw"].tolist()), max(1, round(len(rows) * per_row)))
         return pd.DataFrame({"cell": [int(rows["cell"].iloc[0])] * len(centres), "centre": [c.astype(np.float32).tobytes() for c in centres]})
 
     got = sample.select("vec").mapInArrow(place, "cell int, raw binary").groupBy("cell").applyInPandas(split, "cell int, centre binary").toPandas()
     parts = [unit_rows(list(got.loc[got["cell"] == c, "centre"])) if (got["cell"] == c).any() else cells[c : c + 1] for c in range(len(cells))]
-    return Tree(cells, parts, [0, *np.cumsum([len(p) for p in parts]).tolist()[:-1]]), top[:: max(1, len(top) // CALIBRATION_QUERIES)][:CALIBRATION_QUERIES]
+    return Tree(cells.astype(np.float32), [p.astype(np.float32) for p in parts], [0, *np.cumsum([len(p) for p in parts]).tolist()[:-1]])
 
 
 def _best(cos: np.ndarray, ids: list[list[str]], k: int, floor: float) -> list[list[tuple[float, str]]]:
@@ -167,14 +186,27 @@ def _best(cos: np.ndarray, ids: list[list[str]], k: int, floor: float) -> list[l
     return out
 
 
-def calibrated_margin(usable: DataFrame, tree: Tree, queries: np.ndarray, k: int, floor: float, recall: float) -> tuple[float, int, float]:
-    """The least margin with which ``queries`` reach ``recall`` against brute force over all rows, the visits allowed for it, and that recall.
+@dataclass
+class Reach:
+    """How far a query goes down the tree, and the recall of sample queries with that.
+
+    ``calibrated`` is the recall of the queries that margin and visits were chosen with, ``held_out`` that of others.
+    """
+
+    margin: float
+    visits: int
+    leaves: int
+    mean_visits: float
+    calibrated: float
+    held_out: float
+
+
+def true_neighbours(usable: DataFrame, tree: Tree, queries: np.ndarray, k: int, floor: float) -> pd.DataFrame:
+    """(q, id, cos, home): the k + 1 best of each query by brute force over all rows, with the leaf that holds each.
 
-    While too many neighbours are in leaves not visited, twice as many visits are allowed; with all
-    leaves visited none is left out, so the recall is reached in any case.
+    A task keeps the best of its rows, and Spark the best of these; what reaches the driver is
+    bounded by the number of queries, whatever the number of partitions.
     """
-    if not len(queries):
-        return 0.0, MAX_VISITS, 1.0
     sc = usable.sparkSession.sparkContext
     shared, the_tree = sc.broadcast(queries), sc.broadcast(tree)
 
@@ -200,24 +232,65 @@ def calibrated_margin(usable: DataFrame, tree: Tree, queries: np.ndarray, k: int
         cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int32())], names=["q", "id", "cos", "home"])
 
-    near = usable.select("id", "vec").mapInArrow(scan, "q int, id string, cos double, home int").distinct().toPandas()
-    near = near.sort_values(["q", "cos", "id"], ascending=[True, False, True]).groupby("q").head(k + 1)
+    found = usable.select("id", "vec").mapInArrow(scan, "q int, id string, cos double, home int").distinct()
+    first = Window.partitionBy("q").orderBy(F.col("cos").desc(), "id")
+    return found.withColumn("k", F.row_number().over(first)).where(F.col("k") <= k + 1).drop("k").toPandas()
+
+
+def calibrated(usable: DataFrame, total: int, tree: Tree, k: int, floor: float, recall: float) -> Reach:
+    """The least margin and visits with which sample queries reach ``recall`` against brute force over all rows.
+
+    The queries are chosen by hash among all vectors; one half calibrates, the other measures. While too many neighbours are in leaves not visited, twice as many visits are
+    allowed; with all leaves visited none is left out, so the recall is reached in any case.
+    """
+    leaves = sum(len(part) for part in tree.leaves)
+    some = _share(usable, min(1.0, 32 * CALIBRATION_QUERIES / max(1, total)), 5)
+    apart = some.orderBy(F.xxhash64(F.lit(7), "k1", "k2"), "k1").limit(2 * CALIBRATION_QUERIES).select("vec").toPandas()
+    if apart.empty:
+        return Reach(2.1, leaves, leaves, float(leaves), 1.0, 1.0)
+    queries = unit_rows([np.asarray(v, dtype=np.float32).tobytes() for v in apart["vec"]])
+    near = true_neighbours(usable, tree, queries, k, floor)
     # a query's own vector is in its first leaf anyway: what counts is the others
     near = near[near["cos"] < 1.0]
     if near.empty:
-        return 0.0, MAX_VISITS, 1.0
-    most, leaves = MAX_VISITS, sum(len(part) for part in tree.leaves)
+        return Reach(0.0, FIRST_VISITS, leaves, 1.0, 1.0, 1.0)
+    most = min(FIRST_VISITS, leaves)
+    tuned = (near["q"] % 2 == 0).to_numpy()
+    if not tuned.any():
+        tuned[:] = True
     while True:
         # the difference of two cosines is at most 2: nothing but the number of visits ends the search
-        away = [dict(order) for order in tree.visits(queries, 2.0 + 1e-9, most)]
-        need = np.sort([away[q].get(h, np.inf) for q, h in zip(near["q"], near["home"], strict=True)])
-        margin = float(need[max(0, min(len(need), int(np.ceil(recall * len(need)))) - 1)])
+        away = [dict(order) for order in tree.visits(queries, 2.1, most)]
+        need = np.array([away[q].get(h, np.inf) for q, h in zip(near["q"], near["home"], strict=True)])
+        asked = np.sort(need[tuned])
+        margin = float(asked[max(0, min(len(asked), int(np.ceil(recall * len(asked)))) - 1)])
         if np.isfinite(margin) or most >= leaves:
-            return margin, most, float(np.mean(need <= margin))
+            break
         most = min(2 * most, leaves)
+    margin = margin if np.isfinite(margin) else 2.1
+    mean = float(np.mean([sum(d <= margin for d in order.values()) for order in away]))
+    rest = need[~tuned]
+    reach = Reach(margin, most, leaves, mean, float(np.mean(asked <= margin)), float(np.mean(rest <= margin)) if len(rest) else 1.0)
+    (LOG.info if reach.held_out >= 0.9 else LOG.warning)("vector search: %s", reach)
+    return reach
+
+
+def vector_index(df: DataFrame, key: str, vector: str, dims: int, k: int, floor: float, recall: float, leaf_rows: int = LEAF_ROWS) -> tuple[DataFrame, Tree, Reach, int]:
+    """The usable rows (id, k1, k2, vec), the tree over them, how far a query goes, and the number of rows."""
+    usable = usable_vectors(df, key, vector, dims).select(F.col("id").cast("string").alias("id"), "k1", "k2", "vec")
+    total = usable.count()
+    tree = fit_tree(usable, total, leaf_rows)
+    return usable, tree, calibrated(usable, total, tree, k, floor, recall), total
+
 
+def search_quality(df: DataFrame, key: str = "chunk_id", vector: str = "vector", dims: int = 96, k: int = 5, floor: float = 0.80, recall: float = RECALL, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """One row: rows, leaves, the calibrated margin and visits, and the recall of the calibration and of other queries."""
+    _, _, reach, total = vector_index(df, key, vector, dims, k, floor, recall, leaf_rows)
+    row = (total, reach.leaves, reach.margin, reach.visits, reach.mean_visits, recall, reach.calibrated, reach.held_out)
+    return df.sparkSession.createDataFrame([row], "rows long, leaves long, margin double, visits long, mean_visits double, asked double, calibrated double, held_out double")
 
-def similar_vectors(df: DataFrame, key: str = "chunk_id", vector: str = "vector", dims: int = 96, k: int = 5, floor: float = 0.80, recall: float = 0.99, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+
+def similar_vectors(df: DataFrame, key: str = "chunk_id", vector: str = "vector", dims: int = 96, k: int = 5, floor: float = 0.80, recall: float = RECALL, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(id, other, cosine): for every usable vector up to ``k`` other ids with the highest cosine of at least ``floor``.
 
     Cosines are compared to ten decimals, ties go to the smaller id.
@@ -225,16 +298,22 @@ def similar_vectors(df: DataFrame, key: str = "chunk_id", vector: str = "vector"
     Equal vectors are combined before anything is shuffled: a partition sends one row for each
     distinct vector with its k + 1 smallest ids (no other id of that vector can be among anyone's
     k best), and the answer of a vector is joined back to all ids that have it. So a vector that
-    a third of all rows share costs one query.
+    a third of all rows share costs one query; in that last join its ids are one key, which
+    adaptive execution splits over tasks as each answer is a single row.
+
+    Vectors go to their leaves in tasks of about the session's advisory partition size, whatever
+    the number of rows (``spark.sql.adaptive.advisoryPartitionSizeInBytes``).
 
     Defined cases: vectors that are null, of another length, not finite or all zero have no rows
     and are nobody's neighbour; repeated rows count once; an id with several vectors is searched
     for each of them and gets the best of both; a null id is left out; no rows in, no rows out.
     """
-    usable = usable_vectors(df, key, vector, dims).select(F.col("id").cast("string").alias("id"), "k1", "k2", "vec")
-    tree, queries = fit_tree(usable, leaf_rows)
-    margin, most, _ = calibrated_margin(usable, tree, queries, k, floor, recall)
-    shared = df.sparkSession.sparkContext.broadcast(tree)
+    usable, tree, reach, total = vector_index(df, key, vector, dims, k, floor, recall, leaf_rows)
+    margin, most = reach.margin, reach.visits
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(tree)
+    task_bytes = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    tasks = max(1, min(reach.leaves, -(-int(total * reach.mean_visits * (4 * dims + 64)) // _bytes(task_bytes))))
     keep = k + 1
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +321,7 @@ def similar_vectors(df: DataFrame, key: str = "chunk_id", vector: str = "vector"
 
         def out() -> Iterator[pa.RecordBatch]:
             keys = list(held)
-            step = max(1, 4096 * MAX_VISITS // max(MAX_VISITS, most))  # a bound on the rows of a batch
+            step = max(1, 4096 * FIRST_VISITS // max(FIRST_VISITS, most))  # a bound on the rows of a batch
             for s in range(0, len(keys), step):
                 part = keys[s : s + step]
                 order = shared.value.visits(unit_rows([held[p][0] for p in part]), margin, most)
@@ -296,7 +375,7 @@ def similar_vectors(df: DataFrame, key: str = "chunk_id", vector: str = "vector"
         )
 
     routed = usable.select("id", "k1", "k2", "vec").mapInArrow(route, "leaf int, k1 long, k2 long, ids array<string>, raw binary")
-    parts = routed.groupBy("leaf").applyInPandas(search, "k1 long, k2 long, near array<struct<away: double, id: string>>")
+    parts = routed.repartition(tasks, "leaf").groupBy("leaf").applyInPandas(search, "k1 long, k2 long, near array<struct<away: double, id: string>>")
     answers = parts.groupBy("k1", "k2").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, keep).alias("near"))
     members = usable.select("id", "k1", "k2").distinct()
     others = F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k)

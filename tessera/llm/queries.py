@@ -9,7 +9,7 @@ from ..operators.content import current_content
 from ..session import table
 from .credentials import credentials, redacted
 from .lookalikes import consistent_forms, same_looking_pairs
-from .neighbours import similar_pairs, similar_vectors
+from .neighbours import search_quality, similar_pairs, similar_vectors
 from .packing import pack
 from .percentiles import bisect, combine, daily_counts
 from .syntax import invalid_files, invalid_rates
@@ -75,6 +75,11 @@ def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(chunks).join(paths, "other").select(F.col("id").alias("chunk_id"), F.col("other").alias("near_chunk_id"), F.col("path").alias("near_path"), F.round("cosine", 6).alias("cosine"))
 
 
+def p2_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the search goes and the recall that held-out queries reach with it, against brute force over all rows."""
+    return search_quality(table(spark, sf_dir, "chunks"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_looking_pairs(table(spark, sf_dir, "documents"))
 
@@ -124,6 +129,7 @@ QUERIES = {
     "p5_redacted": p5_redacted,
     "p2_found": p2_found,
     "p2_neighbours": p2_neighbours,
+    "p2_recall": p2_recall,
     "p8_found": p8_found,
     "p8_forms": p8_forms,
     "p3_percentiles": p3_percentiles,

@@ -69,16 +69,41 @@ def test_neighbours_against_brute_force(spark, copies):
 
 
 def test_a_dense_group_over_many_leaves_reaches_the_recall(spark):
-    from tessera.llm.neighbours import MAX_VISITS, similar_vectors
+    from tessera.llm.neighbours import FIRST_VISITS, search_quality, similar_vectors
 
     rng = np.random.default_rng(6)
     x = rng.normal(size=96) + 0.2 * rng.normal(size=(600, 96))
     rows = [(f"d{i:03d}", v.astype(np.float32).tolist()) for i, v in enumerate(x)]
     df = spark.createDataFrame(rows, "chunk_id string, vector array<float>").repartition(3)
-    assert len(rows) // 2 > 2 * MAX_VISITS  # leaves
+    assert len(rows) // 2 > 2 * FIRST_VISITS  # leaves
     u = np.array([v for _, v in rows]) / np.linalg.norm([v for _, v in rows], axis=1, keepdims=True)
     cos = u @ u.T
     np.fill_diagonal(cos, -1)
     want = {(rows[i][0], rows[j][0]) for i, row in enumerate(cos) for j in np.argsort(-row)[:5]}
     got = {(r["id"], r["other"]) for r in similar_vectors(df, leaf_rows=2).collect()}
     assert len(got & want) >= 0.985 * len(want)
+    quality = search_quality(df, leaf_rows=2).first()
+    assert quality["rows"] == 600 and quality["calibrated"] >= 0.995 and quality["held_out"] >= 0.95 and quality["visits"] > FIRST_VISITS
+
+
+def test_a_vector_on_a_third_of_all_rows(spark):
+    from tessera.llm.neighbours import similar_vectors
+
+    rng = np.random.default_rng(2)
+    shared = rng.normal(size=96)
+    rows = [(f"s{i:05d}", shared.astype(np.float32).tolist()) for i in range(2000)]
+    rows += [(f"r{i:05d}", (rng.normal(size=96) if i % 2 else shared + 0.2 * rng.normal(size=96)).astype(np.float32).tolist()) for i in range(4000)]
+    df = spark.createDataFrame(rows, "chunk_id string, vector array<float>").repartition(4)
+    found: dict[str, list[str]] = {}
+    for r in similar_vectors(df).collect():
+        found.setdefault(r["id"], []).append(r["other"])
+    # the smallest other ids of the same vector, whichever of its ids asks; those near it find the same five
+    assert all(sorted(found[f"s{i:05d}"]) == [f"s{n:05d}" for n in range(6) if n != i][:5] for i in range(2000))
+    near = [i for i in range(0, 4000, 2) if sorted(found.get(f"r{i:05d}", [])) == [f"s{n:05d}" for n in range(5)]]
+    assert len(near) >= 1900
+
+
+def test_sizes_of_settings():
+    from tessera.llm.neighbours import _bytes
+
+    assert [_bytes(x) for x in ("67108864b", "8m", "64MB", "1 g", "12")] == [67108864, 8 << 20, 64 << 20, 1 << 30, 12]
