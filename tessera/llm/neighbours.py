@@ -4,7 +4,8 @@ The upper cells of the tree are fitted on a bounded sample on the driver, the le
 cell in Spark on a share of all vectors, and every vector is indexed in one leaf. A query goes
 down the tree best bin first: a priority queue holds cells and leaves by the similarity of
 their centres. Two numbers decide how far it goes: a query takes the leaves whose centre is at
-most a margin less similar than the best, nearest first, up to a number of visits. Both are
+most a margin less similar than the best, nearest first, up to a number of visits. A pair
+is found where either of the two visits the leaf that the other is in. Margin and visits are
 widened until a set of sample queries, compared with brute force over all rows, reaches the
 recall asked for; a second set, with which nothing was chosen, measures it.
 """
@@ -28,9 +29,9 @@ from ..session import written
 LOG = logging.getLogger(__name__)
 
 #: The recall that the search is calibrated to.
-RECALL = 0.995
+RECALL = 0.99
 #: Vectors of a leaf on average.
-LEAF_ROWS = 1024
+LEAF_ROWS = 2_048
 #: Sampled vectors per leaf that its cell is fitted on.
 LEAF_SAMPLE = 64
 #: Vectors the upper cells are fitted on, at most (a bounded sample, chosen by hash).
@@ -38,7 +39,7 @@ TOP_SAMPLE = 8_192
 #: Centres in the whole tree, at most: it is sent to every executor (96 floats of 32 bits each, 58 MB).
 MAX_LEAVES = 150_000
 #: Sample queries for which brute force is run to calibrate the search, and as many more to measure it.
-CALIBRATION_QUERIES = 512
+CALIBRATION_QUERIES = 1_024
 #: Cells a query opens at least, before its queue is followed.
 OPEN_CELLS = 4
 #: Leaves visited at most, to begin with: doubled until the recall asked for is reached, up to all leaves.
@@ -201,44 +202,43 @@ class Reach:
     held_out: float
 
 
-def true_neighbours(usable: DataFrame, tree: Tree, queries: np.ndarray, k: int, floor: float) -> pd.DataFrame:
-    """(q, id, cos, home): the k + 1 best of each query by brute force over all rows, with the leaf that holds each.
+def true_neighbours(usable: DataFrame, queries: np.ndarray, k: int, floor: float) -> pd.DataFrame:
+    """(q, id, cos, raw): the k + 1 best of each query by brute force over all rows, with their vectors.
 
     A task keeps the best of its rows, and Spark the best of these; what reaches the driver is
     bounded by the number of queries, whatever the number of partitions.
     """
-    sc = usable.sparkSession.sparkContext
-    shared, the_tree = sc.broadcast(queries), sc.broadcast(tree)
+    shared = usable.sparkSession.sparkContext.broadcast(queries)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the k + 1 best of this partition per query, in blocks of rows
-        best: list[dict[str, tuple[float, int]]] = [{} for _ in range(len(shared.value))]
+        best: list[dict[str, tuple[float, bytes]]] = [{} for _ in range(len(shared.value))]
+
+        def cut(found: dict[str, tuple[float, bytes]]) -> list[tuple[str, tuple[float, bytes]]]:
+            return sorted(found.items(), key=lambda e: (-e[1][0], e[0]))[: k + 1]
+
         for batch in batches:
             raw = _buffers(batch.column(1))
             if not raw:
                 continue
-            x = unit_rows(raw)
             ids = batch.column(0).to_pylist()
-            cos = np.round(shared.value @ x.T, 10)
+            cos = np.round(shared.value @ unit_rows(raw).T, 10)
             q_at, c_at = np.nonzero(cos >= floor)
-            hit = np.unique(c_at)
-            homes = {c: home[0][0] for c, home in zip(hit.tolist(), the_tree.value.visits(x[hit], 0.0, 1), strict=True)}
             for q, c in zip(q_at.tolist(), c_at.tolist(), strict=True):
-                best[q][ids[c]] = (float(cos[q, c]), homes[c])
-            for q in set(q_at.tolist()):
-                if len(best[q]) > 4 * k:
-                    best[q] = dict(sorted(best[q].items(), key=lambda e: (-e[1][0], e[0]))[: k + 1])
-        rows = [(q, i, s, h) for q, found in enumerate(best) for i, (s, h) in sorted(found.items(), key=lambda e: (-e[1][0], e[0]))[: k + 1]]
+                best[q][ids[c]] = (float(cos[q, c]), raw[c])
+                if len(best[q]) > 8 * k:
+                    best[q] = dict(cut(best[q]))
+        rows = [(q, i, s, raw) for q, found in enumerate(best) for i, (s, raw) in cut(found)]
         cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int32())], names=["q", "id", "cos", "home"])
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.binary())], names=["q", "id", "cos", "raw"])
 
-    found = usable.select("id", "vec").mapInArrow(scan, "q int, id string, cos double, home int").distinct()
+    found = usable.select("id", "vec").mapInArrow(scan, "q int, id string, cos double, raw binary").dropDuplicates(["q", "id", "cos"])
     first = Window.partitionBy("q").orderBy(F.col("cos").desc(), "id")
     return found.withColumn("k", F.row_number().over(first)).where(F.col("k") <= k + 1).drop("k").toPandas()
 
 
 def calibrated(usable: DataFrame, total: int, tree: Tree, k: int, floor: float, recall: float) -> Reach:
-    """The least margin and visits with which sample queries reach ``recall`` against brute force over all rows.
+    """The margin and visits with which sample queries reach ``recall`` against brute force over all rows in the fewest visits.
 
     The queries are chosen by hash among all vectors; one half calibrates, the other measures. While too many neighbours are in leaves not visited, twice as many visits are
     allowed; with all leaves visited none is left out, so the recall is reached in any case.
@@ -249,28 +249,39 @@ def calibrated(usable: DataFrame, total: int, tree: Tree, k: int, floor: float,
     if apart.empty:
         return Reach(2.1, leaves, leaves, float(leaves), 1.0, 1.0)
     queries = unit_rows([np.asarray(v, dtype=np.float32).tobytes() for v in apart["vec"]])
-    near = true_neighbours(usable, tree, queries, k, floor)
+    near = true_neighbours(usable, queries, k, floor)
     # a query's own vector is in its first leaf anyway: what counts is the others
-    near = near[near["cos"] < 1.0]
+    near = near[near["cos"] < 1.0].sort_values(["q", "id"])
     if near.empty:
-        return Reach(0.0, FIRST_VISITS, leaves, 1.0, 1.0, 1.0)
-    most = min(FIRST_VISITS, leaves)
-    tuned = (near["q"] % 2 == 0).to_numpy()
+        return Reach(0.0, 1, leaves, 1.0, 1.0, 1.0)
+    asker = near["q"].to_numpy()
+    tuned = asker % 2 == 0
     if not tuned.any():
         tuned[:] = True
+    others = unit_rows(near["raw"].tolist())
+    most = min(FIRST_VISITS, leaves)
     while True:
         # the difference of two cosines is at most 2: nothing but the number of visits ends the search
-        away = [dict(order) for order in tree.visits(queries, 2.1, most)]
-        need = np.array([away[q].get(h, np.inf) for q, h in zip(near["q"], near["home"], strict=True)])
-        asked = np.sort(need[tuned])
-        margin = float(asked[max(0, min(len(asked), int(np.ceil(recall * len(asked)))) - 1)])
-        if np.isfinite(margin) or most >= leaves:
+        orders, back = tree.visits(queries, 2.1, most), tree.visits(others, 2.1, most)
+        # a pair is found where either visits the leaf that the other is in
+        ways = []
+        for way in ([(orders[q], b[0][0]) for q, b in zip(asker, back, strict=True)], [(b, orders[q][0][0]) for q, b in zip(asker, back, strict=True)]):
+            ways.append([next(((n, d) for n, (leaf, d) in enumerate(order) if leaf == home), (leaves, np.inf)) for order, home in way])
+        place, need = (np.array([[x[i] for x in way] for way in ways], dtype=float) for i in (0, 1))
+        options = []
+        for visits in sorted({most, *(v for v in (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, *(64 << i for i in range(12))) if v < most)}):
+            asked = np.sort(np.where(place < visits, need, np.inf).min(axis=0)[tuned])
+            margin = float(asked[max(0, min(len(asked), int(np.ceil(recall * len(asked)))) - 1)])
+            if np.isfinite(margin):
+                options.append((float(np.mean([sum(d <= margin for _, d in order[:visits]) for order in orders])), visits, margin))
+        # where fewer visits than were tried do, no more need be looked at
+        if options and (min(options)[1] < most or most >= leaves):
             break
         most = min(2 * most, leaves)
-    margin = margin if np.isfinite(margin) else 2.1
-    mean = float(np.mean([sum(d <= margin for d in order.values()) for order in away]))
-    rest = need[~tuned]
-    reach = Reach(margin, most, leaves, mean, float(np.mean(asked <= margin)), float(np.mean(rest <= margin)) if len(rest) else 1.0)
+    # the fewest visits on average with which the recall is reached
+    mean, visits, margin = min(options)
+    reached = ((place < visits) & (need <= margin)).any(axis=0)
+    reach = Reach(margin, visits, leaves, mean, float(np.mean(reached[tuned])), float(np.mean(reached[~tuned])) if not tuned.all() else 1.0)
     (LOG.info if reach.held_out >= 0.9 else LOG.warning)("vector search: %s", reach)
     return reach
 
@@ -325,15 +336,17 @@ def similar_vectors(df: DataFrame, key: str = "chunk_id", vector: str = "vector"
             for s in range(0, len(keys), step):
                 part = keys[s : s + step]
                 order = shared.value.visits(unit_rows([held[p][0] for p in part]), margin, most)
-                leaf, k1, k2, ids, raw = [], [], [], [], []
+                leaf, home, k1, k2, ids, raw = [], [], [], [], [], []
                 for p, seen in zip(part, order, strict=True):
                     for n, (at, _) in enumerate(seen):
                         leaf.append(at)
+                        home.append(n == 0)
                         k1.append(p[0])
                         k2.append(p[1])
-                        ids.append(held[p][1] if n == 0 else None)
+                        ids.append(held[p][1])
                         raw.append(held[p][0])
-                yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(raw, pa.binary())], names=["leaf", "k1", "k2", "ids", "raw"])
+                columns = [pa.array(leaf, pa.int32()), pa.array(home), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(raw, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["leaf", "home", "k1", "k2", "ids", "raw"])
             held.clear()
 
         for batch in batches:
@@ -350,31 +363,33 @@ def similar_vectors(df: DataFrame, key: str = "chunk_id", vector: str = "vector"
         yield from out()
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
+        # those at home in this leaf first, then those that visit it; what was sent twice is one again
         vectors: dict[tuple[int, int], bytes] = {}
         ids: dict[tuple[int, int], set[str]] = {}
+        rows = rows.sort_values("home", ascending=False, kind="stable")
+        n_home = len(rows.loc[rows["home"], ["k1", "k2"]].drop_duplicates())
         for a, b, own, raw in zip(rows["k1"], rows["k2"], rows["ids"], rows["raw"], strict=True):
             vectors[(a, b)] = raw
-            if own is not None:
-                ids.setdefault((a, b), set()).update(own)
-        here = list(ids)
-        if not here:
-            return pd.DataFrame({"k1": [], "k2": [], "near": []})
-        named = [sorted(ids[p])[:keep] for p in here]
-        stored = unit_rows([vectors[p] for p in here]).T
-        asked = list(vectors)
-        found: list[list[tuple[float, str]]] = []
-        for s in range(0, len(asked), 512):
-            found += _best(unit_rows([vectors[p] for p in asked[s : s + 512]]) @ stored, named, keep, floor)
+            ids.setdefault((a, b), set()).update(own)
+        keys = list(vectors)
+        named = [sorted(ids[p])[:keep] for p in keys]
+        units = unit_rows([vectors[p] for p in keys])
+        found: list[list[dict]] = [[] for _ in keys]
+
+        def take(asked: range, low: int, high: int) -> None:
+            for s in range(asked.start, asked.stop, 512):
+                e = min(s + 512, asked.stop)
+                for n, near in enumerate(_best(units[s:e] @ units[low:high].T, named[low:high], keep, floor)):
+                    found[s + n] += [{"away": -c, "id": i} for c, i in near]
+
+        if n_home:
+            take(range(len(keys)), 0, n_home)  # all, among those at home
+            if n_home < len(keys):
+                take(range(n_home), n_home, len(keys))  # those at home, among the visitors
         some = [n for n, f in enumerate(found) if f]
-        return pd.DataFrame(
-            {
-                "k1": [asked[n][0] for n in some],
-                "k2": [asked[n][1] for n in some],
-                "near": [[{"away": -c, "id": i} for c, i in found[n]] for n in some],
-            }
-        )
-
-    routed = usable.select("id", "k1", "k2", "vec").mapInArrow(route, "leaf int, k1 long, k2 long, ids array<string>, raw binary")
+        return pd.DataFrame({"k1": [keys[n][0] for n in some], "k2": [keys[n][1] for n in some], "near": [found[n] for n in some]})
+
+    routed = usable.select("id", "k1", "k2", "vec").mapInArrow(route, "leaf int, home boolean, k1 long, k2 long, ids array<string>, raw binary")
     parts = routed.repartition(tasks, "leaf").groupBy("leaf").applyInPandas(search, "k1 long, k2 long, near array<struct<away: double, id: string>>")
     answers = parts.groupBy("k1", "k2").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, keep).alias("near"))
     members = usable.select("id", "k1", "k2").distinct()
