@@ -38,8 +38,8 @@ LEAF_SAMPLE = 64
 TOP_SAMPLE = 8_192
 #: Centres in the whole tree, at most: it is sent to every executor (96 floats of 32 bits each, 58 MB).
 MAX_LEAVES = 150_000
-#: Sample queries for which brute force is run to calibrate the search, and as many more to measure it.
-CALIBRATION_QUERIES = 1_024
+#: Sample queries for which brute force is run, to calibrate the search and to measure it.
+SAMPLE_QUERIES = 2_048
 #: Cells a query opens at least, before its queue is followed.
 OPEN_CELLS = 4
 #: Leaves visited at most, to begin with: doubled until the recall asked for is reached, up to all leaves.
@@ -240,12 +240,12 @@ def true_neighbours(usable: DataFrame, queries: np.ndarray, k: int, floor: float
 def calibrated(usable: DataFrame, total: int, tree: Tree, k: int, floor: float, recall: float) -> Reach:
     """The margin and visits with which sample queries reach ``recall`` against brute force over all rows in the fewest visits.
 
-    The queries are chosen by hash among all vectors; one half calibrates, the other measures. While too many neighbours are in leaves not visited, twice as many visits are
+    The queries are chosen by hash among all vectors; three quarters calibrate, the others measure. While too many neighbours are in leaves not visited, twice as many visits are
     allowed; with all leaves visited none is left out, so the recall is reached in any case.
     """
     leaves = sum(len(part) for part in tree.leaves)
-    some = _share(usable, min(1.0, 32 * CALIBRATION_QUERIES / max(1, total)), 5)
-    apart = some.orderBy(F.xxhash64(F.lit(7), "k1", "k2"), "k1").limit(2 * CALIBRATION_QUERIES).select("vec").toPandas()
+    some = _share(usable, min(1.0, 3SAMPLE_QUERIES / max(1, total)), 5)
+    apart = some.orderBy(F.xxhash64(F.lit(7), "k1", "k2"), "k1").limit(SAMPLE_QUERIES).select("vec").toPandas()
     if apart.empty:
         return Reach(2.1, leaves, leaves, float(leaves), 1.0, 1.0)
     queries = unit_rows([np.asarray(v, dtype=np.float32).tobytes() for v in apart["vec"]])
@@ -255,7 +255,7 @@ def calibrated(usable: DataFrame, total: int, tree: Tree, k: int, floor: float,
     if near.empty:
         return Reach(0.0, 1, leaves, 1.0, 1.0, 1.0)
     asker = near["q"].to_numpy()
-    tuned = asker % 2 == 0
+    tuned = asker % 4 != 0
     if not tuned.any():
         tuned[:] = True
     others = unit_rows(near["raw"].tolist())
@@ -312,8 +312,9 @@ def similar_vectors(df: DataFrame, key: str = "chunk_id", vector: str = "vector"
     a third of all rows share costs one query; in that last join its ids are one key, which
     adaptive execution splits over tasks as each answer is a single row.
 
-    Vectors go to their leaves in tasks of about the session's advisory partition size, whatever
-    the number of rows (``spark.sql.adaptive.advisoryPartitionSizeInBytes``).
+    Vectors go to their leaves in tasks of about a quarter of the session's advisory partition size
+    (``spark.sql.adaptive.advisoryPartitionSizeInBytes``; leaves are whole, so some tasks get more),
+    whatever the number of rows.
 
     Defined cases: vectors that are null, of another length, not finite or all zero have no rows
     and are nobody's neighbour; repeated rows count once; an id with several vectors is searched
@@ -324,7 +325,7 @@ def similar_vectors(df: DataFrame, key: str = "chunk_id", vector: str = "vector"
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(tree)
     task_bytes = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
-    tasks = max(1, min(reach.leaves, -(-int(total * reach.mean_visits * (4 * dims + 64)) // _bytes(task_bytes))))
+    tasks = max(1, min(reach.leaves, -(-int(total * reach.mean_visits * (4 * dims + 64)) // max(1, _bytes(task_bytes) // 4))))
     keep = k + 1
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

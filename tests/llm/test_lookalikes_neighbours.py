@@ -83,7 +83,7 @@ def test_a_dense_group_over_many_leaves_reaches_the_recall(spark):
     got = {(r["id"], r["other"]) for r in similar_vectors(df, leaf_rows=2).collect()}
     assert len(got & want) >= 0.985 * len(want)
     quality = search_quality(df, leaf_rows=2).first()
-    assert quality["rows"] == 600 and quality["calibrated"] >= 0.985 and quality["held_out"] >= 0.95 and quality["visits"] > FIRST_VISITS
+    assert quality["rows"] == 600 and quality["calibrated"] >= 0.985 and quality["held_out"] >= 0.95 and quality["visits"] >= FIRST_VISITS
 
 
 def test_a_vector_on_a_third_of_all_rows(spark):
