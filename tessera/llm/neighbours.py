@@ -244,7 +244,7 @@ def calibrated(usable: DataFrame, total: int, tree: Tree, k: int, floor: float,
     allowed; with all leaves visited none is left out, so the recall is reached in any case.
     """
     leaves = sum(len(part) for part in tree.leaves)
-    some = _share(usable, min(1.0, 3SAMPLE_QUERIES / max(1, total)), 5)
+    some = _share(usable, min(1.0, 16 * SAMPLE_QUERIES / max(1, total)), 5)
     apart = some.orderBy(F.xxhash64(F.lit(7), "k1", "k2"), "k1").limit(SAMPLE_QUERIES).select("vec").toPandas()
     if apart.empty:
         return Reach(2.1, leaves, leaves, float(leaves), 1.0, 1.0)
