@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -55,6 +55,8 @@ def pack(items: DataFrame, specs: DataFrame, item: str = "doc_id", size: str = "
     An item larger than the capacity is split into full containers of its own and a rest that
     is packed like any other item; ``part`` counts its parts from 0 and ``start`` is where a
     part begins in the item. No other item is split. A container id is unique within a spec.
+    Full parts never enter a group: they are rows that Spark numbers in shares of bounded size, so
+    an item of any size fills no task.
 
     Defined cases: a null or negative size counts as 0; an item of size 0 has one part of size
     0; repeated rows are items of their own; a spec whose capacity is null or below 1 gets no
@@ -66,14 +68,27 @@ def pack(items: DataFrame, specs: DataFrame, item: str = "doc_id", size: str = "
     sized = written(items.select(F.col(item).alias("item"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("size")), "item-sizes")
     groups = max(1, -(-sized.count() // group_items))
     # the number of a row, not its id, chooses the group, so that a repeated id cannot fill one
-    pieces = (
-        sized.withColumn("grp", F.pmod(F.xxhash64("item", F.monotonically_increasing_id()), F.lit(groups)))
+    placed = (
+        sized.withColumn("row", F.monotonically_increasing_id())
+        .withColumn("grp", F.pmod(F.xxhash64("item", "row"), F.lit(groups)))
         .join(F.broadcast(known))
-        .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("size") / F.col("s_cap")) - 1, F.lit(0)))))
-        .withColumn("start", F.col("part") * F.col("s_cap"))
-        .withColumn("piece", F.least(F.col("size") - F.col("start"), F.col("s_cap")))
+        .withColumn("full", F.floor(F.col("size") / F.col("s_cap")))
+        .withColumn("rest", F.col("size") - F.col("full") * F.col("s_cap"))
+    )
+    rests = placed.where((F.col("rest") > 0) | (F.col("size") == 0)).select("s_spec", "s_cap", "grp", "item", F.col("full").alias("part"), (F.col("full") * F.col("s_cap")).alias("start"), F.col("rest").alias("piece"))
+    split = placed.where("full > 0").select("s_spec", "s_cap", "item", "row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("part"))
+    shares = max(1, -(-(split.agg(F.count("*")).first()[0]) // group_items))
+    split = split.withColumn("share", F.pmod(F.xxhash64("row", "part"), F.lit(shares)))
+    number = F.row_number().over(Window.partitionBy("s_spec", "share").orderBy("row", "part"))
+    whole = split.select(
+        F.col("s_spec").alias(spec),
+        F.col("item").alias(item),
+        "part",
+        # behind the numbers of all groups
+        ((F.lit(groups) + F.col("share")) * F.lit(1 << 32) + number).alias("container_id"),
+        (F.col("part") * F.col("s_cap")).alias("start"),
+        F.col("s_cap").alias("size"),
     )
-    pieces = pieces.select("s_spec", "s_cap", "grp", "item", "part", "start", "piece")
 
     def fill(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["item", "part"], kind="stable")
@@ -89,5 +104,6 @@ def pack(items: DataFrame, specs: DataFrame, item: str = "doc_id", size: str = "
             }
         )
 
-    kinds = dict(pieces.dtypes)
-    return pieces.groupBy("s_spec", "grp").applyInPandas(fill, f"{spec} {kinds['s_spec']}, {item} {kinds['item']}, part long, container_id long, start long, size long")
+    kinds = dict(rests.dtypes)
+    packed = rests.groupBy("s_spec", "grp").applyInPandas(fill, f"{spec} {kinds['s_spec']}, {item} {kinds['item']}, part long, container_id long, start long, size long")
+    return packed.unionByName(whole)

@@ -112,6 +112,20 @@ def test_packing_is_whole_and_fits(spark):
     assert pack(df.limit(0), specs).count() == 0
 
 
+def test_an_item_of_any_size_fills_no_group(spark):
+    items = spark.createDataFrame([(1, 1_000_003), (2, 5), (3, 10), (3, 10)], "doc_id long, tokens long")
+    specs = spark.createDataFrame([(7, 10)], "spec_id long, capacity_tokens long")
+    rows = pack(items, specs, group_items=1000).collect()
+    assert sum(r["size"] for r in rows) == 1_000_028
+    of_one = sorted((r["part"], r["start"], r["size"]) for r in rows if r["doc_id"] == 1)
+    assert of_one == [*((i, 10 * i, 10) for i in range(100_000)), (100_000, 1_000_000, 3)]
+    used: dict[int, int] = {}
+    for r in rows:
+        used[r["container_id"]] = used.get(r["container_id"], 0) + r["size"]
+    # 100,002 full containers, and one for the rest of 3 and the item of 5
+    assert len(used) == 100_003 and max(used.values()) == 10
+
+
 def test_percentiles_of_records(spark):
     rng = random.Random(9)
     rows = []
