@@ -151,12 +151,16 @@ def fit_tree(usable: DataFrame, total: int, leaf_rows: int = LEAF_ROWS) -> Tree:
     """
     leaves = max(1, min(MAX_LEAVES, total // leaf_rows))
     sample = written(_share(usable, min(1.0, leaves * LEAF_SAMPLE / max(1, total)), 3), "vector-sample")
-    rows = sample.orderBy("k1", "k2").limit(TOP_SAMPLE).select("vec").toPandas()
+    known = sample.count()
+    # a share by hash: no task sends more than its part of the bound
+    rows = sample.where(F.pmod(F.xxhash64(F.lit(11), "k1", "k2"), F.lit(SHARES)) <= int(min(1.0, TOP_SAMPLE / max(1, known)) * SHARES)).select("k1", "k2", "vec").toPandas().sort_values(["k1", "k2"])
+    if rows.empty:
+        rows = sample.limit(1).toPandas()
     if rows.empty:
         return Tree(np.zeros((1, 1), np.float32), [np.zeros((1, 1), np.float32)], [0])
     cells = kmeans(unit_rows([np.asarray(v, dtype=np.float32).tobytes() for v in rows["vec"]]), max(1, round(leaves**0.5)))
     shared = usable.sparkSession.sparkContext.broadcast(cells)
-    per_row = leaves / max(1, sample.count())
+    per_row = leaves / max(1, known)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,7 +248,7 @@ def calibrated(usable: DataFrame, total: int, tree: Tree, k: int, floor: float,
     allowed; with all leaves visited none is left out, so the recall is reached in any case.
     """
     leaves = sum(len(part) for part in tree.leaves)
-    some = _share(usable, min(1.0, 16 * SAMPLE_QUERIES / max(1, total)), 5)
+    some = _share(usable, min(1.0, 4 * SAMPLE_QUERIES / max(1, total)), 5)
     apart = some.orderBy(F.xxhash64(F.lit(7), "k1", "k2"), "k1").limit(SAMPLE_QUERIES).select("vec").toPandas()
     if apart.empty:
         return Reach(2.1, leaves, leaves, float(leaves), 1.0, 1.0)
