@@ -290,3 +290,17 @@ def same_looking_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return a.join(b, (F.col("a.form_key") == F.col("b.form_key")) & (F.col("a.text_key") != F.col("b.text_key")) & (F.col("a.doc_id") < F.col("b.doc_id"))).select(
         F.col("a.doc_id").alias("doc_id_a"), F.col("b.doc_id").alias("doc_id_b")
     )
+
+
+def same_looking_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, class_id, links): each document that looks like another but is written differently.
+
+    ``class_id`` is the smallest id of its class, ``links`` how many documents of the class have other
+    characters. One row a document, however many look alike: nothing is paired, and classes are
+    counted by their forms and strings before they meet the documents.
+    """
+    forms = written(consistent_forms(docs, doc_id, text).where(F.col("doc_id").isNotNull()), "text-forms").distinct()
+    strings = forms.groupBy("form_key", "text_key").agg(F.count("*").alias("same"), F.min("doc_id").alias("low"))
+    classes = strings.groupBy("form_key").agg(F.sum("same").alias("all"), F.min("low").alias("class_id"), F.count("*").alias("spellings")).where("spellings > 1").drop("spellings")
+    counted = strings.join(classes, "form_key").select("form_key", "text_key", "class_id", (F.col("all") - F.col("same")).alias("links"))
+    return forms.join(counted, ["form_key", "text_key"]).select("doc_id", "class_id", "links")

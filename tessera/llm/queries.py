@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.content import current_content
 from ..session import table
 from .credentials import credentials, redacted
-from .lookalikes import consistent_forms, same_looking_pairs
+from .lookalikes import consistent_forms, same_looking_classes, same_looking_pairs
 from .neighbours import search_quality, similar_pairs, similar_vectors
 from .packing import pack
 from .percentiles import bisect, combine, daily_counts
@@ -84,6 +84,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_looking_pairs(table(spark, sf_dir, "documents"))
 
 
+def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as classes: one row a document, with the number of its links."""
+    return same_looking_classes(table(spark, sf_dir, "documents"))
+
+
 def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every visible text in its consistent form."""
     return consistent_forms(table(spark, sf_dir, "documents"), with_text=True).select("doc_id", "form")
@@ -131,6 +136,7 @@ QUERIES = {
     "p2_neighbours": p2_neighbours,
     "p2_recall": p2_recall,
     "p8_found": p8_found,
+    "p8_classes": p8_classes,
     "p8_forms": p8_forms,
     "p3_percentiles": p3_percentiles,
     "p3_daily": p3_daily,

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from tessera.llm.lookalikes import Speller, folded, same_looking_pairs
+from tessera.llm.lookalikes import Speller, folded, same_looking_classes, same_looking_pairs
 from tessera.llm.neighbours import similar_pairs
 
 BASE = "The schema of a café cost 5 μm"
@@ -29,6 +29,19 @@ def test_pairs_against_the_known_groups(spark):
     got = [tuple(r) for r in same_looking_pairs(df).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert same_looking_pairs(df.limit(0)).count() == 0
+    classes = {r["doc_id"]: (r["class_id"], r["links"]) for r in same_looking_classes(df).collect()}
+    assert classes == {i: (0 if i < len(SAME) else len(texts) - 2, sum(i in p for p in want)) for i in {x for p in want for x in p}} and same_looking_classes(df.limit(0)).count() == 0
+
+
+def test_the_usual_spelling_of_the_corpus_is_chosen(spark):
+    from tessera.llm.lookalikes import consistent_forms
+
+    usual = ["The catalog of sources", "Каталог исходных текстов", "Ο κατάλογος των πηγών"]
+    mixed = ["Тhе cаtаlоg оf ѕоurсеѕ", "Kaтaлoг иcxoдныx тeкcтoв", "Ｔｈｅ catalog of sources"]
+    docs = [(i, t) for i, t in enumerate(usual * 20)] + [(100 + i, t) for i, t in enumerate(mixed)]
+    got = {r["doc_id"]: r["form"] for r in consistent_forms(spark.createDataFrame(docs, "doc_id long, text string"), with_text=True).collect()}
+    # the letters most likely in the corpus, of one script a word, whichever were given
+    assert [got[100], got[101], got[102]] == [usual[0], usual[1], usual[0]] and [got[i] for i in range(3)] == usual
 
 
 def test_spelling_does_not_depend_on_the_letters_given():

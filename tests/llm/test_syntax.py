@@ -93,6 +93,6 @@ def test_on_spark(spark):
     want = {i for i, _, lang, kind, t in rows if kind == "source" and lang != "md" and not verdict(lang, t)}
     got = [r["file_id"] for r in invalid_files(df).collect()]
     assert len(got) == len(set(got)) and set(got) == want
-    rates = {(r["root_id"], r["extension"]): (r["files"], r["invalid"]) for r in invalid_rates(df).collect()}
-    assert rates[(None, "py")] == (1, 1) and sum(b for _, b in rates.values()) == len(want)
+    rates = {(r["root_id"], r["language"]): (r["files"], r["invalid"]) for r in invalid_rates(df).collect()}
+    assert rates[(None, "python")] == (1, 1) and sum(b for _, b in rates.values()) == len(want)
     assert invalid_files(df.limit(0)).count() == 0
