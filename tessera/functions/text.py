@@ -156,6 +156,19 @@ def redact_text(text: Column, most: int = 2048) -> Column:
     return F.when(F.length(out) <= most, out).otherwise(F.concat(F.substring(out, 1, most), F.lit("[TRUNCATED]")))
 
 
+def memory_layer(path: Column) -> Column:
+    """What kind of note a file is, by its name and folder."""
+    name = base_name(path)
+    return (
+        F.when(name == "user_profile.md", "user_profile")
+        .when(name.isin("project_memory.md", "MEMORY.md", "memory_summary.md"), "project_summary")
+        .when(name == "topics.md", "topic_summary")
+        .when(name.startswith("session_memory_") | path.contains("/rollout_summaries/"), "session_summary")
+        .when(name.endswith(".jsonl"), "raw_history")
+        .otherwise("memory_note")
+    )
+
+
 def cut_bytes(text: Column, most: int) -> Column:
     """A text's longest beginning of at most ``most`` bytes that ends at a character."""
     raw = text.cast("binary")

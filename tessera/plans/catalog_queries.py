@@ -205,11 +205,16 @@ def dataset_profile(t: Tables) -> DataFrame:
     return parts[0].unionByName(parts[1]).select("table_name", "column_name", "nulls", "distinct_values")
 
 
-@reg("exp_corpus_manifest", "SELECT root_id, count(*) AS n, count(DISTINCT absolute_path) AS paths, sha256(string_agg(id || ':' || coalesce(content_hash, ''), ',' ORDER BY id)) AS digest FROM (SELECT DISTINCT id, root_id, absolute_path, content_hash FROM files) GROUP BY root_id")
+@reg(
+    "exp_corpus_manifest",
+    "SELECT root_id, count(*) AS n, count(DISTINCT absolute_path) AS paths, bit_xor(('0x' || left(m, 15))::BIGINT) AS digest, sum(('0x' || substring(m, 16, 8))::BIGINT)::BIGINT AS total FROM (SELECT *, sha256(id || ':' || absolute_path || ':' || coalesce(content_hash, '')) AS m FROM (SELECT DISTINCT id, root_id, absolute_path, content_hash FROM files)) GROUP BY root_id",
+)
 def exp_corpus_manifest(t: Tables) -> DataFrame:
-    marks = F.array_sort(F.collect_list(F.struct("id", F.concat_ws(":", "id", F.coalesce("content_hash", F.lit(""))).alias("m"))))
+    """Files and a digest of each root that no order enters: digests of the rows add up in every task before they meet."""
     f = t.files.select("id", "root_id", "absolute_path", "content_hash").distinct()
-    return f.groupBy("root_id").agg(F.count("*").alias("n"), F.countDistinct("absolute_path").alias("paths"), F.sha2(F.array_join(marks["m"], ","), 256).alias("digest"))
+    mark = F.sha2(F.concat_ws(":", "id", "absolute_path", F.coalesce("content_hash", F.lit(""))), 256)
+    number = lambda at, n: F.conv(F.substring("m", at, n), 16, 10).cast("long")
+    return f.withColumn("m", mark).groupBy("root_id").agg(F.count("*").alias("n"), F.countDistinct("absolute_path").alias("paths"), F.bit_xor(number(1, 15)).alias("digest"), F.sum(number(16, 8)).alias("total"))
 
 
 @reg("exp_versioned_mutations", "SELECT v.v AS version, count(*) AS files FROM (SELECT DISTINCT generation AS v FROM search_docs) v JOIN (SELECT file_id, min(generation) AS born FROM search_docs GROUP BY file_id) s ON s.born <= v.v GROUP BY v.v")

@@ -8,18 +8,17 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import retrieval as R
 from ..operators.joins import ancestors, longest_prefix_owner
-from ..sources.files import scan_tree
 from .registry import Registry, Tables
 from .retrieval_queries import _DOCS, _LEX, _VECTOR, _fused_sql, _lane, _lane_sql, asked, current_docs, lane, lanes, semantic, stored_docs
 from .telemetry_queries import _GOLD, _R, _gold, records
 
 reg = Registry()
 
-_NOTES = "docs AS (SELECT doc_id AS file_id, text AS content FROM documents WHERE text IS NOT NULL AND {0}), queries AS (SELECT doc_id AS query_id, regexp_extract(path, '[^/]*$') AS query FROM documents WHERE path IS NOT NULL AND doc_id % 50 = 0)"
+_NOTES = "docs AS (SELECT doc_id AS file_id, concat_ws(' ', regexp_extract(path, '[^/]*$'), text) AS content FROM documents WHERE text IS NOT NULL AND {0}), queries AS (SELECT doc_id AS query_id, regexp_extract(path, '[^/]*$') AS query FROM documents WHERE path IS NOT NULL AND doc_id % 50 = 0)"
 
 
 def _notes(t: Tables, where: str) -> tuple[DataFrame, DataFrame]:
-    docs = t.documents.where("text IS NOT NULL").where(where).select(F.col("doc_id").alias("file_id"), F.col("text").alias("content"))
+    docs = t.documents.where("text IS NOT NULL").where(where).select(F.col("doc_id").alias("file_id"), F.concat_ws(" ", X.base_name(F.col("path")), "text").alias("content"))
     queries = t.documents.where("path IS NOT NULL AND doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), X.base_name(F.col("path")).alias("query"))
     return docs, queries
 
@@ -97,28 +96,6 @@ def local_remote_partition(t: Tables) -> DataFrame:
     return owned.select("id", F.col("root").isNotNull().alias("watchable")).distinct()
 
 
-@reg(
-    "mmr_progressive",
-    f"""WITH {_DOCS}, {_lane_sql('path')}, h AS (SELECT query_id, file_id, score, path, row_number() OVER (PARTITION BY query_id, regexp_replace(path, '/[^/]*$', '') ORDER BY score DESC, path) - 1 AS k FROM path_lane JOIN docs USING (file_id) WHERE kind IN ('tabular', 'semi_structured'))
-SELECT query_id, file_id, round(score - 0.0125 * k, 6) AS score FROM h""",
-)
-def mmr_progressive(t: Tables) -> DataFrame:
-    """For directories of data files the penalty grows with every file taken from them."""
-    docs = current_docs(t)
-    hits = lane(t, "path", docs).join(docs.where(F.col("kind").isin("tabular", "semi_structured")).select("file_id", "path"), "file_id")
-    w = Window.partitionBy("query_id", F.regexp_replace("path", "/[^/]*$", "")).orderBy(F.col("score").desc(), "path")
-    return hits.select("query_id", "file_id", F.round(F.col("score") - 0.0125 * (F.row_number().over(w) - 1), 6).alias("score"))
-
-
-@reg("preview_budget", f"WITH {_DOCS}, {_lane_sql('content')}, h AS (SELECT query_id, rank, file_id, least(length(content), 1000) AS want FROM content_lane JOIN docs USING (file_id) WHERE rank <= 20) SELECT query_id, file_id, greatest(least(want, 4000 - CAST(coalesce(sum(want) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)), 0) AS chars FROM h")
-def preview_budget(t: Tables) -> DataFrame:
-    """Characters of preview by rank until a query's budget is used."""
-    docs = current_docs(t)
-    hits = lane(t, "content", docs).where("rank <= 20").join(docs.select("file_id", F.least(F.length("content"), F.lit(1000)).cast("long").alias("want")), "file_id")
-    before = F.coalesce(F.sum("want").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return hits.select("query_id", "file_id", F.greatest(F.least("want", 4000 - before), F.lit(0)).alias("chars"))
-
-
 @reg(
     "snippet",
     rf"""WITH {_DOCS}, {_lane_sql('content')}, l AS (SELECT file_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM docs),
@@ -141,20 +118,6 @@ def limit_compaction(t: Tables) -> DataFrame:
     return t.audit_records.where("tool = 'workspace_search'").select(lim).where("lim BETWEEN 1 AND 50").groupBy("lim", F.least(F.col("lim"), F.lit(20)).alias("served")).agg(F.count("*").alias("n"))
 
 
-@reg(
-    "miss_diagnostics",
-    """SELECT DISTINCT f.id, CASE WHEN f.deleted THEN 'deleted' WHEN NOT f.content_indexed THEN 'metadata_only' WHEN s.last IS NULL THEN 'no_text' WHEN s.last <> f.generation AND NOT s.has THEN 'stale_text' ELSE 'present' END AS reason
-FROM files f LEFT JOIN (SELECT s.file_id, max(s.generation) AS last, bool_or(s.generation = g.generation) AS has FROM search_docs s JOIN (SELECT DISTINCT id, generation FROM files) g ON g.id = s.file_id GROUP BY s.file_id) s ON s.file_id = f.id""",
-)
-def miss_diagnostics(t: Tables) -> DataFrame:
-    """Why a file of the catalog would not be found."""
-    files = t.files.select("id", "generation", "deleted", "content_indexed").distinct()
-    seen = t.search_docs.select(F.col("file_id").alias("id"), F.col("generation").alias("g")).join(files.select("id", "generation").distinct(), "id")
-    seen = seen.groupBy("id").agg(F.max("g").alias("last"), F.bool_or(F.col("g") == F.col("generation")).alias("has"))
-    reason = F.when(F.col("deleted"), "deleted").when(~F.col("content_indexed"), "metadata_only").when(F.col("last").isNull(), "no_text").when((F.col("last") != F.col("generation")) & ~F.col("has"), "stale_text").otherwise("present")
-    return files.join(seen, "id", "left").select("id", reason.alias("reason")).distinct()
-
-
 @reg("schema_truncate", "SELECT file_id, name FROM (SELECT file_id, name, sum(length(name)) OVER (PARTITION BY file_id ORDER BY name ROWS UNBOUNDED PRECEDING) AS used FROM (SELECT DISTINCT file_id, left(name, 256) AS name FROM symbols)) WHERE used <= 60")
 def schema_truncate(t: Tables) -> DataFrame:
     """Names in order until their running length passes a budget."""
@@ -284,10 +247,4 @@ def value_to_json(t: Tables) -> DataFrame:
     return t.lineitem.select(F.to_json(F.struct("l_orderkey", "l_linenumber", finite("l_quantity"), finite("l_extendedprice"), "l_returnflag", F.col("l_shipdate").cast("date").alias("l_shipdate"))).alias("row"))
 
 
-@reg("scan_files_walk")
-def scan_files_walk(t: Tables) -> DataFrame:
-    """A recursive listing of the folder of tables itself, without the contents."""
-    return scan_tree(t.spark, t.sf_dir, X.EXCLUDED_COMPONENTS).select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "size")
-
-
 QUERIES, SQL = reg.queries, reg.sql

@@ -442,23 +442,16 @@ def fingerprint(t: Tables) -> DataFrame:
     return t.files.select("id", F.sha2(F.concat_ws("|", "absolute_path", "size_bytes", "mtime_ns", F.coalesce("content_hash", F.lit("-"))), 256).alias("mark")).distinct()
 
 
-@reg(
-    "memory_layer",
-    """SELECT doc_id, CASE WHEN name = 'user_profile.md' THEN 'user_profile' WHEN name IN ('project_memory.md', 'MEMORY.md', 'memory_summary.md') THEN 'project_summary' WHEN name = 'topics.md' THEN 'topic_summary'
- WHEN starts_with(name, 'session_memory_') OR contains(path, '/rollout_summaries/') THEN 'session_summary' WHEN name LIKE '%.jsonl' THEN 'raw_history' ELSE 'memory_note' END AS layer
-FROM (SELECT doc_id, path, regexp_extract(path, '[^/]*$') AS name FROM documents WHERE kind = 'agent_memory' AND path IS NOT NULL)""",
+MEMORY_LAYER = (
+    X.memory_layer,
+    """CASE WHEN name = 'user_profile.md' THEN 'user_profile' WHEN name IN ('project_memory.md', 'MEMORY.md', 'memory_summary.md') THEN 'project_summary' WHEN name = 'topics.md' THEN 'topic_summary'
+ WHEN starts_with(name, 'session_memory_') OR contains(path, '/rollout_summaries/') THEN 'session_summary' WHEN name LIKE '%.jsonl' THEN 'raw_history' ELSE 'memory_note' END""",
 )
+
+
+@reg("memory_layer", f"SELECT doc_id, {MEMORY_LAYER[1]} AS layer FROM (SELECT doc_id, path, regexp_extract(path, '[^/]*$') AS name FROM documents WHERE kind = 'agent_memory' AND path IS NOT NULL)")
 def memory_layer(t: Tables) -> DataFrame:
-    d = t.documents.where("kind = 'agent_memory' AND path IS NOT NULL").withColumn("name", X.base_name(F.col("path")))
-    layer = (
-        F.when(F.col("name") == "user_profile.md", "user_profile")
-        .when(F.col("name").isin("project_memory.md", "MEMORY.md", "memory_summary.md"), "project_summary")
-        .when(F.col("name") == "topics.md", "topic_summary")
-        .when(F.col("name").startswith("session_memory_") | F.col("path").contains("/rollout_summaries/"), "session_summary")
-        .when(F.col("name").endswith(".jsonl"), "raw_history")
-        .otherwise("memory_note")
-    )
-    return d.select("doc_id", layer.alias("layer"))
+    return t.documents.where("kind = 'agent_memory' AND path IS NOT NULL").select("doc_id", X.memory_layer(F.col("path")).alias("layer"))
 
 
 @reg(

@@ -26,7 +26,6 @@ def _stored(df: DataFrame, kind: str) -> str:
 
 
 reg.text("scan_parquet", "SELECT p_partkey, p_name, p_retailprice FROM {part}")
-reg.text("register_view", "SELECT s.s_suppkey, n.n_name FROM {supplier} s JOIN {nation} n ON s.s_nationkey = n.n_nationkey")
 reg.text("scan_embedding_table", "SELECT DISTINCT file_id, generation FROM {chunks}")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of ``tessera.plans`` that register queries.
-MODULES = ["snapshot_queries", "relational_queries", "scalar_queries", "retrieval_queries", "catalog_queries", "telemetry_queries", "stream_queries", "more_retrieval_queries"]
+MODULES = ["snapshot_queries", "relational_queries", "scalar_queries", "retrieval_queries", "catalog_queries", "telemetry_queries", "stream_queries", "more_retrieval_queries", "ranking_queries"]
 
 
 def core_queries() -> dict[str, Query]:
