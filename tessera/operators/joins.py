@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import filled
+
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, value: str) -> DataFrame:
     """Each row of ``left`` with the ``value`` of the last row of ``right`` of its key at or before its time.
 
-    Both sides go through one window as a union, so nothing is multiplied; of right rows at one
-    time the largest value holds. A null key or time matches nothing.
+    Both sides go through one window as a union, so nothing is multiplied, in ranges of time, so a
+    hot key is no task of its own; of right rows at one time the largest value holds. A null key or
+    time matches nothing.
     """
     names = [c for c in left.columns if c not in (key, time)]
     a = left.select(key, time, F.lit(1).alias("_side"), F.lit(None).cast(dict(right.dtypes)[value]).alias("_value"), F.struct(*names).alias("_row"))
     b = right.where(F.col(key).isNotNull() & F.col(time).isNotNull()).groupBy(key, time).agg(F.max(value).alias("_value"))
     both = a.unionByName(b.withColumn("_side", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(F.col(time).asc_nulls_first(), "_side").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_found", F.last("_value", ignorenulls=True).over(w)).where("_side = 1")
-    return found.select(key, time, *(F.col(f"_row.{c}").alias(c) for c in names), F.when(F.col(time).isNotNull() & F.col(key).isNotNull(), F.col("_found")).alias(value))
+    found = filled(both, key, [time, "_side"], "_value").where("_side = 1")
+    return found.select(key, time, *(F.col(f"_row.{c}").alias(c) for c in names), F.when(F.col(time).isNotNull() & F.col(key).isNotNull(), F.col("last")).alias(value))
 
 
 def range_join(left: DataFrame, right: DataFrame, left_at: str, right_at: str, reach: int) -> DataFrame:

@@ -20,7 +20,7 @@ from ..session import written
 # The constants of BM25 and of rank fusion, and the weights of the lanes.
 K1, B = 1.2, 0.75
 RRF_K = 60
-WEIGHTS = {"path": 1.25, "content": 1.0, "symbol": 1.15, "schema": 1.1, "sql": 1.35, "semantic": 1.0, "exact_path": 0.0}
+WEIGHTS = {"path": 1.25, "content": 1.0, "symbol": 1.15, "schema": 1.1, "sql": 1.35, "semantic": 1.0, "exact_path": 0.0, "agent": 1.3, "memory": 1.15}
 COVERAGE_WEIGHT, EXACT_PATH_BOOST, EXACT_SYMBOL_BOOST, DIRECTORY_PENALTY = 0.05, 2.0, 1.5, 0.00125
 #: A term that more than this share of a lane's documents have is scored last, for the files that can still win.
 COMMON_SHARE = 0.2

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranges import numbered
 from .registry import Registry, Tables
 from .retrieval_queries import _DOCS, _lane_sql, current_docs, lane
 
@@ -169,16 +170,15 @@ def latency_window(t: Tables) -> DataFrame:
 
 @reg("pctl_ceil_n1", "SELECT event_type, v[CAST(ceil((len(v) - 1) * 0.95) AS BIGINT) + 1] AS p95 FROM (SELECT event_type, list(value ORDER BY value) AS v FROM events WHERE value IS NOT NULL GROUP BY event_type)")
 def pctl_ceil_n1(t: Tables) -> DataFrame:
-    """The element at the ceiling of (n - 1) q, by row numbers: no list of a group's values is built."""
-    e = t.events.where("value IS NOT NULL").select("event_type", "value")
-    n = e.groupBy("event_type").agg(F.count("*").alias("n"))
-    k = F.row_number().over(Window.partitionBy("event_type").orderBy("value"))
-    return e.withColumn("k", k).join(F.broadcast(n), "event_type").where(F.col("k") == F.ceil((F.col("n") - 1) * 0.95) + 1).select("event_type", F.col("value").alias("p95"))
+    """The element at the ceiling of (n - 1) q; a group of any size is numbered in ranges."""
+    e = numbered(t.events.where("value IS NOT NULL").select("event_type", "value"), ["event_type"], ["value"])
+    return e.where(F.col("place") == F.ceil((F.col("size") - 1) * 0.95) + 1).select("event_type", F.col("value").alias("p95"))
 
 
 @reg("pctl_nearest_rank", "SELECT event_type, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
 def pctl_nearest_rank(t: Tables) -> DataFrame:
-    return t.events.groupBy("event_type").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"))
+    e = numbered(t.events.where("value IS NOT NULL").select("event_type", "value"), ["event_type"], ["value"])
+    return e.where(F.col("place") == F.greatest(F.ceil(F.col("size") * 0.95), F.lit(1))).select("event_type", F.col("value").alias("p95"))
 
 
 # retrieval quality: a query is made of a file's name and symbols; the files of its name are relevant

@@ -20,6 +20,23 @@ def test_search_inspect_changes_status(spark):
     assert ws.status().count() == 40
 
 
+def test_notes_context_and_missing(spark):
+    ws = Workspace(spark, SF)
+    skill = ws.tables.documents.where("kind = 'agent_skill' AND path IS NOT NULL AND length(text) > 80").orderBy("doc_id").first()
+    name = skill["path"].rsplit("/", 1)[1]
+    free = {r["doc_id"]: r["score"] for r in ws.search_notes(name, limit=20).collect()}
+    folder = skill["path"].rsplit("/", 1)[0]
+    held = ws.search_notes(name, limit=20, context_path=f"{folder}/src/x.py").collect()
+    assert free[skill["doc_id"]] < 1 < held[0]["score"] and held[0]["doc_id"] == skill["doc_id"]
+    assert all(r["path"].rsplit("/", 1)[0] == folder for r in held if r["kind"] == "agent_skill")
+    doc = ws.docs(kinds=["source"]).where("symbols <> ''").orderBy("file_id").first()
+    plain = {r["file_id"]: r["score"] for r in ws.search(doc["name"], limit=20).collect()}
+    own = {r["file_id"]: r["score"] for r in ws.search(doc["name"], limit=20, context_path=doc["path"]).collect()}
+    assert abs(own[doc["file_id"]] - plain[doc["file_id"]] - 0.15) < 1e-6
+    why = {r["path"]: r["reason"] for r in ws.missing([doc["path"], "/else/a.py", "/ws/../x", f"{doc['path']}.gone"]).collect()}
+    assert why == {doc["path"]: "indexed_not_returned", "/else/a.py": "outside_indexed_roots", "/ws/../x": "unresolved_path", f"{doc['path']}.gone": "not_returned"}
+
+
 def test_limit_is_checked(spark):
     import pytest
 

@@ -26,6 +26,26 @@ def test_asof_keeps_every_left_row(spark):
     assert got == {"a": 8, "b": None, "c": 7, "d": None, "e": None, "f": None}
 
 
+def test_ranges_number_and_fill_a_hot_group(spark):
+    import random
+
+    from tessera.operators.ranges import filled, numbered
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot"] * 8 + ["a", "b", None]), rng.choice([None, *range(5000)]), rng.choice([None, None, None, n])) for n in range(4000)]
+    df = spark.createDataFrame([(k, t, v, i) for i, (k, t, v) in enumerate(rows)], "k string, t int, v int, i int")
+    for k in ("hot", "a", "b", None):
+        mine = sorted(((-1 if t is None else t, i, v) for i, (g, t, v) in enumerate(rows) if g == k))
+        got = {r["i"]: (r["place"], r["size"]) for r in numbered(df, ["k"], ["t", "i"]).where(F.col("k").eqNullSafe(F.lit(k))).collect()}
+        assert got == {i: (n, len(mine)) for n, (_, i, _) in enumerate(mine, 1)}
+        last, want = None, {}
+        for _, i, v in mine:
+            last = last if v is None else v
+            want[i] = last
+        assert {r["i"]: r["last"] for r in filled(df, "k", ["t", "i"], "v").where(F.col("k").eqNullSafe(F.lit(k))).collect()} == want
+    assert numbered(df.limit(0), ["k"], ["t"]).count() == 0 and filled(df.limit(0), "k", ["t"], "v").count() == 0
+
+
 def test_range_join_is_the_nested_loop(spark):
     a = spark.createDataFrame([(i, i * 7 % 50) for i in range(30)], "i int, at int")
     b = spark.createDataFrame([(j, j * 11 % 50) for j in range(30)], "j int, bt int")
