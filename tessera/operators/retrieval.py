@@ -31,18 +31,19 @@ QUERY_BLOCK, ROW_BLOCK = 2_048, 65_536
 
 
 def posting_index(docs: DataFrame, lanes: dict[str, Column | tuple[Column, Column]]) -> DataFrame:
-    """(lane, file_id, len, tok, tf): how often each document has each word, for all lanes in one pass.
+    """(lane, file_id, len, tok, tf, first): how often each document has each word, for all lanes in one pass.
 
     A lane is the text it reads, or (condition, text). The words of a document are counted where
     its row is, by sorting them and measuring the runs, so nothing is shuffled; the table is
-    written to the shared folder, a folder for each lane. Documents without a word have no row.
+    written to the shared folder, a folder for each lane. One row of a document is its ``first``, which
+    stands for it in counts of documents. Documents without a word have no row.
     """
     parts = [F.struct(F.lit(name).alias("lane"), F.when(lane[0], X.text_tokens(lane[1])).alias("tokens") if isinstance(lane, tuple) else X.text_tokens(lane).alias("tokens")) for name, lane in lanes.items()]
     cut = docs.select("file_id", F.explode(F.array(*parts)).alias("l")).select("file_id", "l.lane", F.array_sort("l.tokens").alias("tokens")).where(F.size("tokens") > 0)
     starts = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: (i == 0) | (F.get("tokens", i) != F.get("tokens", i - 1)))
     runs = cut.select("file_id", "lane", "tokens", starts.alias("starts"))
     counted = F.transform("starts", lambda at, n: F.struct(F.get("tokens", at).alias("tok"), (F.coalesce(F.get("starts", n + 1), F.size("tokens")) - at).alias("tf")))
-    rows = runs.select("lane", "file_id", F.size("tokens").alias("len"), F.explode(counted).alias("w")).select("lane", "file_id", "len", "w.tok", "w.tf")
+    rows = runs.select("lane", "file_id", F.size("tokens").alias("len"), F.posexplode(counted).alias("n", "w")).select("lane", "file_id", "len", "w.tok", "w.tf", (F.col("n") == 0).alias("first"))
     return written(rows, "postings", "lane")
 
 
@@ -63,8 +64,7 @@ def lane_ranks(index: DataFrame, asked: DataFrame, depth: int, common_share: flo
     """
     one = ["lane", "query_id"]
     terms = asked.select(*one, F.explode(F.array_distinct(X.text_tokens(F.col("query")))).alias("tok"))
-    # statistics of all documents; a document's row with its first word stands for it
-    sizes = index.groupBy("lane", "file_id").agg(F.first("len").alias("len")).groupBy("lane").agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean"))
+    sizes = index.where("first").groupBy("lane").agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean"))
     found = index.join(terms.select("lane", "tok").distinct(), ["lane", "tok"], "left_semi").groupBy("lane", "tok").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = found.join(sizes, "lane").select("lane", "tok", "mean", idf.alias("idf"), (F.col("df") > common_share * F.col("n_docs")).alias("common"))
