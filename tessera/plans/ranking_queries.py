@@ -26,6 +26,7 @@ reg = Registry()
 #: The time that ages are counted to, in seconds (2026-06-01).
 NOW = 1_780_272_000
 _OWNER = "(SELECT r.path FROM roots r WHERE {0} = r.path OR starts_with({0}, r.path || '/') ORDER BY length(r.path) DESC LIMIT 1)"
+_STEM = r"regexp_replace(regexp_extract(d.path, '[^/]*$'), '(.)\.[^.]*$', '\1')"
 _ENTRY = r"\A---\r?\nname: ([^\r\n]*)"
 _ABOUT = r"\A---\r?\n(?:name: [^\n]*\n)?description: ([^\r\n]*)"
 _STEPS = "CASE layer " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in K.LAYERS.items()) + " END"
@@ -35,7 +36,7 @@ _HAS = "(strlen({0}) >= 4 AND contains(' ' || q || ' ', ' ' || {0} || ' '))"
 @reg(
     "memory_boosts",
     rf"""WITH {_NOTES.format("kind = 'agent_memory'")}, {_lane('content', 'content')},
-h AS (SELECT l.query_id, l.file_id, qu.query, {_NORM.format('qu.query')} AS q, {_NORM.format("regexp_replace(regexp_extract(d.path, '[^/]*$'), '(.)\.[^.]*$', '\\1')")} AS file, {_NORM.format(f"regexp_extract(d.text, '{_ENTRY}', 1)")} AS entry,
+h AS (SELECT l.query_id, l.file_id, qu.query, {_NORM.format('qu.query')} AS q, {_NORM.format(_STEM)} AS file, {_NORM.format(f"regexp_extract(d.text, '{_ENTRY}', 1)")} AS entry,
   {_NORM.format(f"regexp_extract(d.text, '{_ABOUT}', 1)")} AS about, {MEMORY_LAYER[1]} AS layer, {_OWNER.format('d.path')} IS NOT NULL AS owned, greatest({NOW} - epoch(d.ingested_at), 0) / 86400.0 AS age
   FROM content_lane l JOIN queries qu USING (query_id) JOIN (SELECT *, regexp_extract(path, '[^/]*$') AS name FROM documents) d ON d.doc_id = l.file_id WHERE l.rank <= 20 AND d.path IS NOT NULL AND d.ingested_at IS NOT NULL),
 w AS (SELECT *, list_distinct(list_filter(string_split(q, ' '), lambda x: x <> '')) AS words FROM h),
