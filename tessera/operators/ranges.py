@@ -40,6 +40,17 @@ def numbered(df: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
     return joined.select(*(F.col(f"a.{c}") for c in df.columns), (F.col("_k") + F.col("_before")).alias("place"), "size")
 
 
+def rank_percentiles(df: DataFrame, groups: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(groups, a column for each of ``shares``): the nearest-rank percentiles of each group, exact, whatever its size.
+
+    The rank of a share q among n values is ceil(n q), at least 1. Nulls do not count; a group of nulls has no row.
+    """
+    placed = numbered(df.where(F.col(value).isNotNull()).select(*groups, value), groups, [value])
+    at = {name: F.greatest(F.ceil(F.col("size") * q), F.lit(1)) for name, q in shares.items()}
+    wanted = reduce(Column.__or__, (F.col("place") == p for p in at.values()))
+    return placed.where(wanted).groupBy(*groups).agg(*(F.max(F.when(F.col("place") == p, F.col(value))).alias(name) for name, p in at.items()))
+
+
 def filled(df: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
     """``df`` with ``last``: the last ``value`` that is not null at or before each row of its group.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import retrieval as R
 from ..operators.joins import ancestors, longest_prefix_owner
+from ..operators.ranges import rank_percentiles
 from .registry import Registry, Tables
 from .retrieval_queries import _DOCS, _LEX, _VECTOR, _fused_sql, _lane, _lane_sql, asked, current_docs, lane, lanes, semantic, stored_docs
 from .telemetry_queries import _GOLD, _R, _gold, records
@@ -118,11 +119,20 @@ def limit_compaction(t: Tables) -> DataFrame:
     return t.audit_records.where("tool = 'workspace_search'").select(lim).where("lim BETWEEN 1 AND 50").groupBy("lim", F.least(F.col("lim"), F.lit(20)).alias("served")).agg(F.count("*").alias("n"))
 
 
-@reg("schema_truncate", "SELECT file_id, name FROM (SELECT file_id, name, sum(length(name)) OVER (PARTITION BY file_id ORDER BY name ROWS UNBOUNDED PRECEDING) AS used FROM (SELECT DISTINCT file_id, left(name, 256) AS name FROM symbols)) WHERE used <= 60")
+#: Columns of a schema that are shown, characters of a name and of a type, and of all together.
+_COLUMNS, _NAME, _TYPE, _SCHEMA = 500, 256, 512, 16_384
+
+
+@reg(
+    "schema_truncate",
+    f"SELECT file_id, name, type FROM (SELECT file_id, name, type, row_number() OVER w AS k, sum(length(name) + length(type)) OVER w AS used FROM (SELECT DISTINCT file_id, left(name, {_NAME}) AS name, left(coalesce(signature, ''), {_TYPE}) AS type FROM symbols) WINDOW w AS (PARTITION BY file_id ORDER BY name, type ROWS UNBOUNDED PRECEDING)) WHERE used <= {_SCHEMA} AND k <= {_COLUMNS}",
+)
 def schema_truncate(t: Tables) -> DataFrame:
-    """Names in order until their running length passes a budget."""
-    used = F.sum(F.length("name")).over(Window.partitionBy("file_id").orderBy("name").rowsBetween(Window.unboundedPreceding, 0))
-    return t.symbols.select("file_id", F.substring("name", 1, 256).alias("name")).distinct().withColumn("used", used).where("used <= 60").select("file_id", "name")
+    """Names with their types in order until their running length or number passes its bound."""
+    order = Window.partitionBy("file_id").orderBy("name", "type")
+    rows = t.symbols.select("file_id", F.substring("name", 1, _NAME).alias("name"), F.substring(F.coalesce("signature", F.lit("")), 1, _TYPE).alias("type")).distinct()
+    used = F.sum(F.length("name") + F.length("type")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("used", used).withColumn("k", F.row_number().over(order)).where((F.col("used") <= _SCHEMA) & (F.col("k") <= _COLUMNS)).select("file_id", "name", "type")
 
 
 def _quality(hits: DataFrame, docs: DataFrame) -> DataFrame:
@@ -217,9 +227,12 @@ def ab_tool_metrics(t: Tables) -> DataFrame:
     return records(t).groupBy("client_name").agg(F.count_if(F.col("tool") == "workspace_search").alias("searches"), F.count_if(F.col("tool") == "workspace_inspect").alias("inspections"), F.count_if(grouped).alias("grouped"))
 
 
-@reg("stress_level", f"WITH {_R} SELECT client_process, count(*) AS calls, round(avg(duration_ms), 3) AS mean, quantile_disc(duration_ms, 0.99) AS p99, max(duration_ms) AS top FROM r GROUP BY client_process")
+@reg("stress_level", f"WITH {_R} SELECT client_process, count(*) AS calls, round(avg(duration_ms), 3) AS mean, quantile_disc(duration_ms, 0.5) AS p50, quantile_disc(duration_ms, 0.95) AS p95, quantile_disc(duration_ms, 0.99) AS p99, max(duration_ms) AS top, count(*) FILTER (WHERE status <> 'ok') AS failures FROM r GROUP BY client_process")
 def stress_level(t: Tables) -> DataFrame:
-    return records(t).groupBy("client_process").agg(F.count("*").alias("calls"), F.round(F.avg("duration_ms"), 3).alias("mean"), F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY duration_ms)").cast("long").alias("p99"), F.max("duration_ms").alias("top"))
+    r = records(t)
+    counted = r.groupBy("client_process").agg(F.count("*").alias("calls"), F.round(F.avg("duration_ms"), 3).alias("mean"), F.max("duration_ms").alias("top"), F.count_if(F.col("status") != "ok").alias("failures"))
+    ranks = rank_percentiles(r, ["client_process"], "duration_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return counted.alias("c").join(ranks.alias("r"), F.col("c.client_process").eqNullSafe(F.col("r.client_process")), "left").select("c.client_process", "calls", "mean", "p50", "p95", "p99", "top", "failures")
 
 
 @reg("sidecar_metrics", f"WITH {_R}, d AS (SELECT CAST(floor(timestamp_unix_ms / 86400000) AS BIGINT) AS day, tool, count(*) AS calls, CAST(sum(response_bytes) AS BIGINT) AS bytes FROM r GROUP BY ALL) SELECT day, tool, CAST(sum(calls) OVER w AS BIGINT) AS calls, CAST(sum(bytes) OVER w AS BIGINT) AS bytes FROM d WINDOW w AS (PARTITION BY tool ORDER BY day)")

@@ -321,15 +321,25 @@ def inspect_file(t: Tables) -> DataFrame:
     return current_docs(t).join(names, "file_id", "left").select("file_id", "path", "kind", F.coalesce(F.array_join("names", ","), F.lit("")).alias("symbol_names"), F.substring("content", 1, 400).alias("excerpt"))
 
 
-@reg("symbol_outline", "SELECT file_id, name, line_start, CAST(k AS BIGINT) AS k FROM (SELECT file_id, name, line_start, row_number() OVER (PARTITION BY file_id ORDER BY line_start, name) AS k FROM (SELECT DISTINCT file_id, name, line_start FROM symbols)) WHERE k <= 24")
+@reg(
+    "symbol_outline",
+    "SELECT file_id, name, line_start, CAST(k AS BIGINT) AS k FROM (SELECT file_id, name, line_start, row_number() OVER (PARTITION BY file_id ORDER BY is_ref, line_start, name) AS k FROM (SELECT DISTINCT file_id, name, line_start, kind IN ('call', 'import') AS is_ref FROM symbols)) WHERE k <= 24",
+)
 def symbol_outline(t: Tables) -> DataFrame:
-    w = Window.partitionBy("file_id").orderBy("line_start", "name")
-    return t.symbols.select("file_id", "name", "line_start").distinct().withColumn("k", F.row_number().over(w).cast("long")).where("k <= 24")
+    """The first 24 symbols of a file, definitions before what only refers to one."""
+    w = Window.partitionBy("file_id").orderBy("is_ref", "line_start", "name")
+    rows = t.symbols.select("file_id", "name", "line_start", F.col("kind").isin("call", "import").alias("is_ref")).distinct()
+    return rows.withColumn("k", F.row_number().over(w).cast("long")).where("k <= 24").select("file_id", "name", "line_start", "k")
 
 
-@reg("inspect_symbol_focus", "SELECT file_id, lower(name) AS term, min(line_start) AS line, greatest(min(line_start) - 2, 1) AS window_start FROM symbols WHERE line_start IS NOT NULL GROUP BY ALL")
+@reg(
+    "inspect_symbol_focus",
+    "SELECT file_id, lower(name) AS term, arg_min(line_start, row(kind IN ('call', 'import'), line_start)) AS line, greatest(arg_min(line_start, row(kind IN ('call', 'import'), line_start)) - 2, 1) AS window_start FROM symbols WHERE line_start IS NOT NULL GROUP BY ALL",
+)
 def inspect_symbol_focus(t: Tables) -> DataFrame:
-    return t.symbols.where("line_start IS NOT NULL").groupBy("file_id", F.lower("name").alias("term")).agg(F.min("line_start").alias("line")).withColumn("window_start", F.greatest(F.col("line") - 2, F.lit(1)))
+    """Where a file defines a name, whatever its case; where it is only called or imported, the first such line."""
+    first = F.min(F.struct(F.col("kind").isin("call", "import").alias("is_ref"), F.col("line_start").alias("line")))["line"]
+    return t.symbols.where("line_start IS NOT NULL").groupBy("file_id", F.lower("name").alias("term")).agg(first.alias("line")).withColumn("window_start", F.greatest(F.col("line") - 2, F.lit(1)))
 
 
 QUERIES, SQL = reg.queries, reg.sql

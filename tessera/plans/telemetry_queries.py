@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.ranges import numbered
+from ..operators.ranges import numbered, rank_percentiles
 from .registry import Registry, Tables
 from .retrieval_queries import _DOCS, _lane_sql, current_docs, lane
 
@@ -23,16 +23,20 @@ def records(t: Tables) -> DataFrame:
     return t.audit_records.select(*columns.split()).distinct()
 
 
-def _distribution(df: DataFrame, *groups) -> DataFrame:
-    return df.groupBy(*groups).agg(
+def _distribution(df: DataFrame, group) -> DataFrame:
+    """Counts by partial aggregation, percentiles of durations by rank in ranges: no task holds a group's values."""
+    group_name = "_group"
+    df = df.withColumn(group_name, group)
+    counted = df.groupBy(group_name).agg(
         F.count("*").alias("calls"),
         F.count_if(F.col("status") != "ok").alias("errors"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY duration_ms)").cast("long").alias("p50"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY duration_ms)").cast("long").alias("p95"),
         F.count_if(F.col("duration_ms") > 1000).alias("over_1s"),
         F.count_if(F.col("response_bytes") > 102400).alias("over_100k"),
         F.countDistinct("session_id").alias("sessions"),
     )
+    ranks = rank_percentiles(df, [group_name], "duration_ms", {"p50": 0.5, "p95": 0.95})
+    joined = counted.alias("c").join(ranks.alias("r"), F.col(f"c.{group_name}").eqNullSafe(F.col(f"r.{group_name}")), "left")
+    return joined.select(F.col(f"c.{group_name}").alias(group_name), "calls", "errors", F.col("p50").cast("long").alias("p50"), F.col("p95").cast("long").alias("p95"), "over_1s", "over_100k", "sessions")
 
 
 _DIST = "count(*) AS calls, count(*) FILTER (WHERE status <> 'ok') AS errors, quantile_disc(duration_ms, 0.5) AS p50, quantile_disc(duration_ms, 0.95) AS p95, count(*) FILTER (WHERE duration_ms > 1000) AS over_1s, count(*) FILTER (WHERE response_bytes > 102400) AS over_100k, count(DISTINCT session_id) AS sessions"
@@ -41,12 +45,12 @@ _DIST = "count(*) AS calls, count(*) FILTER (WHERE status <> 'ok') AS errors, qu
 def _grouped(name: str, column: str, sql_column: str, make) -> None:
     @reg(name, f"WITH {_R} SELECT {sql_column} AS {column}, {_DIST} FROM r GROUP BY 1")
     def run(t: Tables) -> DataFrame:
-        return _distribution(records(t), make().alias(column))
+        return _distribution(records(t), make()).withColumnRenamed("_group", column)
 
 
 @reg("audit_distribution", f"WITH {_R} SELECT 'all' AS scope, {_DIST} FROM r")
 def audit_distribution(t: Tables) -> DataFrame:
-    return _distribution(records(t), F.lit("all").alias("scope"))
+    return _distribution(records(t), F.lit("all")).withColumnRenamed("_group", "scope")
 
 
 _grouped("audit_by_tool", "tool", "tool", lambda: F.col("tool"))
