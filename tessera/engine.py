@@ -90,7 +90,7 @@ class Workspace:
         ranked = R.lane_ranks(index, asked.select("query_id", "query", F.explode(F.array(F.lit("agent"), F.lit("memory"))).alias("lane")), depth)
         hits = R.fuse(ranked).join(docs, "file_id").join(asked, "query_id")
         note = K.memory_boost(F.col("query"), X.base_name(F.col("path")), F.lit(None).cast("string"), F.lit(None).cast("string"), X.memory_layer(F.col("path")), F.col("root").isNotNull(), F.lit(0.0))
-        skill = F.lit(K.INSTRUCTION) + K.INSTRUCTION_DEPTH * (F.size(F.split("folder", "/")) - 1) if context_path is not None else F.lit(0.0)
+        skill = F.lit(R.INSTRUCTION) + R.INSTRUCTION_DEPTH * (F.size(F.split("folder", "/")) - 1) if context_path is not None else F.lit(0.0)
         scored = hits.withColumn("score", F.round(F.col("score") + F.when(F.col("kind") == "agent_memory", note).otherwise(skill), 6))
         return R.best(scored, min(limit, 20), "path").select("query_id", "rank", F.col("file_id").alias("doc_id"), "path", "kind", "score", F.substring("text", 1, preview_chars).alias("preview"))
 

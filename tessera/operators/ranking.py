@@ -13,8 +13,8 @@ from .joins import ancestors, longest_prefix_owner
 PROJECT_NOTE, GLOBAL_NOTE, LAYER_STEP, RECENT = 0.08, 0.01, 0.004, 0.005
 FILE_NAMED, ENTRY_NAMED, DESCRIBED, SUMMARY_PENALTY, NOTE_WEIGHT = 0.25, 0.22, 0.04, 0.08, 0.1
 LAYERS = {"project_summary": 5, "topic_summary": 4, "user_profile": 3, "session_summary": 2, "memory_note": 1, "raw_history": 0}
-# What lifts an instruction in scope and a source file of the asker's own checkout.
-INSTRUCTION, INSTRUCTION_DEPTH, OWN_CHECKOUT = 1.0, 0.001, 0.15
+# What lifts a source file of the asker's own checkout.
+OWN_CHECKOUT = 0.15
 # The bounds of previews and copies, and the least penalty of a directory.
 PREVIEW_FLOOR, PREVIEW_MOST, COPIES, DIRECTORY, BOOSTED_FROM = 128, 1_000, 3, 0.00125, 0.5
 

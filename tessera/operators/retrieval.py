@@ -22,6 +22,8 @@ K1, B = 1.2, 0.75
 RRF_K = 60
 WEIGHTS = {"path": 1.25, "content": 1.0, "symbol": 1.15, "schema": 1.1, "sql": 1.35, "semantic": 1.0, "exact_path": 0.0, "agent": 1.3, "memory": 1.15}
 COVERAGE_WEIGHT, EXACT_PATH_BOOST, EXACT_SYMBOL_BOOST, DIRECTORY_PENALTY = 0.05, 2.0, 1.5, 0.00125
+# What lifts an instruction whose folder holds the asker's, more the deeper it is.
+INSTRUCTION, INSTRUCTION_DEPTH = 1.0, 0.001
 #: A term that more than this share of a lane's documents have is scored last, for the files that can still win.
 COMMON_SHARE = 0.2
 #: Scores are compared to six decimals; bounds keep this much room for that.
@@ -39,7 +41,7 @@ def posting_index(docs: DataFrame, lanes: dict[str, Column | tuple[Column, Colum
     stands for it in counts of documents. Documents without a word have no row.
     """
     parts = [F.struct(F.lit(name).alias("lane"), F.when(lane[0], X.text_tokens(lane[1])).alias("tokens") if isinstance(lane, tuple) else X.text_tokens(lane).alias("tokens")) for name, lane in lanes.items()]
-    cut = docs.select("file_id", F.explode(F.array(*parts)).alias("l")).select("file_id", "l.lane", F.array_sort("l.tokens").alias("tokens")).where(F.size("tokens") > 0)
+    cut = docs.select("file_id", F.explode(F.array(*parts)).alias("l")).select("file_id", "l.lane", F.sort_array("l.tokens").alias("tokens")).where(F.size("tokens") > 0)
     starts = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: (i == 0) | (F.get("tokens", i) != F.get("tokens", i - 1)))
     runs = cut.select("file_id", "lane", "tokens", starts.alias("starts"))
     counted = F.transform("starts", lambda at, n: F.struct(F.get("tokens", at).alias("tok"), (F.coalesce(F.get("starts", n + 1), F.size("tokens")) - at).alias("tf")))

@@ -77,12 +77,25 @@ def recency_decay(t: Tables) -> DataFrame:
     return t.documents.where("kind = 'agent_memory' AND ingested_at IS NOT NULL").select("doc_id", F.round(0.005 / (1 + days / 30), 9).alias("boost"))
 
 
-@reg("memory_merge", f"WITH {_DOCS}, {_lane_sql('path')}, {_lane_sql('content')} SELECT query_id, file_id, max(score) AS score FROM (SELECT query_id, file_id, score FROM path_lane UNION ALL SELECT query_id, file_id, round(score * 0.1, 8) FROM content_lane) GROUP BY ALL")
+_MEMORY_LANE = _lane("memory", "content").replace("FROM docs", "FROM notes")
+
+
+@reg(
+    "memory_merge",
+    f"""WITH {_DOCS}, {_lane_sql('path')}, notes AS (SELECT doc_id AS file_id, concat_ws(' ', regexp_extract(path, '[^/]*$'), text) AS content FROM documents WHERE kind = 'agent_memory' AND text IS NOT NULL), {_MEMORY_LANE},
+m AS (SELECT query_id, 'file' AS source, file_id, round({R.WEIGHTS['path']} / ({R.RRF_K} + rank), 9) AS score FROM path_lane UNION ALL SELECT query_id, 'note', file_id, round({R.WEIGHTS['memory']} / ({R.RRF_K} + rank) * 0.1, 9) FROM memory_lane)
+SELECT query_id, source, file_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, file_id) AS rank FROM m""",
+)
 def memory_merge(t: Tables) -> DataFrame:
-    """Two result lists, the second at a tenth of its weight; the best score of each file holds."""
-    docs = current_docs(t)
-    second = lane(t, "content", docs).select("query_id", "file_id", F.round(F.col("score") * 0.1, 8).alias("score"))
-    return lane(t, "path", docs).select("query_id", "file_id", "score").unionByName(second).groupBy("query_id", "file_id").agg(F.max("score").alias("score"))
+    """Hits among files and among notes as one list; where notes are only some of the kinds they count a tenth."""
+    docs = stored_docs(t)
+    notes = t.documents.where("kind = 'agent_memory' AND text IS NOT NULL").select(F.col("doc_id").alias("file_id"), F.concat_ws(" ", X.base_name(F.col("path")), "text").alias("content"))
+    queries = asked(docs)
+    of_notes = R.lane_ranks(R.posting_index(notes, {"memory": F.col("content")}), queries.withColumn("lane", F.lit("memory")), 100)
+    part = lambda name, weight: F.round(R.WEIGHTS[name] / (R.RRF_K + F.col("rank")) * weight, 9).alias("score")
+    both = lanes(("path",), docs).select("query_id", F.lit("file").alias("source"), "file_id", part("path", 1.0)).unionByName(of_notes.select("query_id", F.lit("note").alias("source"), "file_id", part("memory", 0.1)))
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "source", "file_id")
+    return both.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
 @reg("memory_scope", "SELECT d.doc_id, max(r.path) AS owner FROM documents d LEFT JOIN roots r ON starts_with(d.path, r.path || '/') WHERE d.kind = 'agent_memory' AND d.path IS NOT NULL GROUP BY d.doc_id")

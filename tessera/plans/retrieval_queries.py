@@ -254,14 +254,16 @@ def path_prefix_filter(t: Tables) -> DataFrame:
 
 @reg(
     "instruction_scope",
-    """WITH s AS (SELECT regexp_extract(path, '^/[^/]+/[^/]+') AS scope, count(*) AS n FROM documents WHERE kind = 'agent_skill' AND path IS NOT NULL GROUP BY 1)
-SELECT f.id, CAST(sum(s.n) AS BIGINT) AS skills, max(len(string_split(scope, '/')) - 1) AS depth FROM (SELECT DISTINCT id, absolute_path FROM files) f JOIN s ON starts_with(f.absolute_path, s.scope || '/') GROUP BY f.id""",
+    f"""WITH s AS (SELECT regexp_extract(path, '^/[^/]+/[^/]+') AS scope, count(*) AS n FROM documents WHERE kind = 'agent_skill' AND path IS NOT NULL GROUP BY 1)
+SELECT f.id, CAST(sum(s.n) AS BIGINT) AS skills, max(len(string_split(scope, '/')) - 1) AS depth, round({R.INSTRUCTION}::DOUBLE + {R.INSTRUCTION_DEPTH}::DOUBLE * max(len(string_split(scope, '/')) - 1), 6) AS boost FROM (SELECT DISTINCT id, absolute_path FROM files) f JOIN s ON starts_with(f.absolute_path, s.scope || '/') GROUP BY f.id""",
 )
 def instruction_scope(t: Tables) -> DataFrame:
-    """How many skills apply to a file, and from how deep a scope: counted per scope, then an equi join on the ancestors of a path."""
+    """How many skills apply to a file, from how deep a scope, and what the deepest adds to a score: counted per
+    scope, then an equi join on the ancestors of a path."""
     skills = t.documents.where("kind = 'agent_skill' AND path IS NOT NULL").groupBy(F.regexp_extract("path", "^/[^/]+/[^/]+", 0).alias("scope")).agg(F.count("*").alias("n"))
     files = t.files.select("id", "absolute_path").distinct().select("id", F.explode(ancestors(F.regexp_replace("absolute_path", "/[^/]*$", ""))).alias("scope"))
-    return files.join(skills, "scope").groupBy("id").agg(F.sum("n").alias("skills"), F.max(F.size(F.split("scope", "/")) - 1).cast("long").alias("depth"))
+    found = files.join(skills, "scope").groupBy("id").agg(F.sum("n").alias("skills"), F.max(F.size(F.split("scope", "/")) - 1).cast("long").alias("depth"))
+    return found.withColumn("boost", F.round(R.INSTRUCTION + R.INSTRUCTION_DEPTH * F.col("depth"), 6))
 
 
 @reg("dedup_memory", "SELECT doc_id FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS k FROM documents WHERE kind = 'agent_memory') WHERE k = 1 OR text IS NULL")
