@@ -256,8 +256,8 @@ def batch_pack(t: Tables) -> DataFrame:
     return packed_batches(stored_docs(t).where("content IS NOT NULL").select("file_id", size.alias("bytes")))
 
 
-@reg("snapshot_verify", "SELECT count(*) AS n, count(DISTINCT generation) AS generations, 0::BIGINT AS missing, 0::BIGINT AS changed FROM search_docs")
-def snapshot_verify(t: Tables) -> DataFrame:
+@reg("snapshot_publish", "SELECT count(*) AS n, count(DISTINCT generation) AS generations, 0::BIGINT AS missing, 0::BIGINT AS changed FROM search_docs")
+def snapshot_publish(t: Tables) -> DataFrame:
     """Publish the texts as a snapshot (data, then a manifest of sizes and digests, then the pointer) and verify it as a reader does."""
     base = f"{work_folder(t.spark)}/published-{uuid.uuid4().hex}"
     listed = lambda: t.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(f"{base}/data").select("path", "length", F.sha2("content", 256).alias("digest"))

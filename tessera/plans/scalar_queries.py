@@ -252,9 +252,9 @@ def _declared(lang: str, kind: str, pattern: str) -> str:
  FROM ({_ROWS}) WHERE extension IN ('py', 'pyi', 'rs', 'go') AND trim(line) <> ''),
 d AS ({" UNION ALL ".join(_declared(lang, kind, pattern) for lang, known in E.DECLARATIONS.items() for kind, pattern in known)}),
 e AS (SELECT d.file_id, d.n, d.name, d.kind, d.line, d.indent, (SELECT min(l.n) FROM l WHERE l.file_id = d.file_id AND l.n > d.n AND l.indent <= d.indent) AS stop FROM d)
-SELECT file_id, left(name, 160) AS name, kind, n AS line_start,
- CASE WHEN kind IN ('import', 'call') THEN n WHEN EXISTS (SELECT 1 FROM l WHERE l.file_id = e.file_id AND l.n = e.stop AND l.indent = e.indent AND regexp_matches(l.line, '^\s*[}})\]]')) THEN stop
-  ELSE (SELECT max(l.n) FROM l WHERE l.file_id = e.file_id AND l.n < coalesce(e.stop, 2147483647)) END AS line_end,
+SELECT file_id, left(name, 160) AS name, kind, CAST(n AS INTEGER) AS line_start,
+ CAST(CASE WHEN kind IN ('import', 'call') THEN n WHEN EXISTS (SELECT 1 FROM l WHERE l.file_id = e.file_id AND l.n = e.stop AND l.indent = e.indent AND regexp_matches(l.line, '^\s*[}})\]]')) THEN stop
+  ELSE (SELECT max(l.n) FROM l WHERE l.file_id = e.file_id AND l.n < coalesce(e.stop, 2147483647)) END AS INTEGER) AS line_end,
  left(trim(regexp_replace(line, '\s+', ' ', 'g')), 240) AS signature FROM e""",
 )
 def extract_symbols(t: Tables) -> DataFrame:
