@@ -193,16 +193,17 @@ _PROFILED = {
 }
 
 
-@reg("dataset_profile", " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS distinct_values FROM {t}" for t, cs in _PROFILED.items() for c in cs))
+@reg("dataset_profile", " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, CASE any_value(typeof({c})) WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE lower(any_value(typeof({c}))) END AS type, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS distinct_values FROM {t}" for t, cs in _PROFILED.items() for c in cs))
 def dataset_profile(t: Tables) -> DataFrame:
-    """Nulls and distinct values of every column: a column and value is a row, so one shuffle does for all columns."""
+    """Type, nulls and distinct values of every column: a column and value is a row, so one shuffle does for all columns."""
     parts = []
     for name, columns in _PROFILED.items():
         cells = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in columns))
         counted = getattr(t, name).select(F.explode(cells).alias("x")).groupBy("x.column_name", "x.v").agg(F.count("*").alias("n"))
         nulls = F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0))
-        parts.append(counted.groupBy("column_name").agg(nulls.alias("nulls"), F.count("v").alias("distinct_values")).withColumn("table_name", F.lit(name)))
-    return parts[0].unionByName(parts[1]).select("table_name", "column_name", "nulls", "distinct_values")
+        kinds = F.create_map(*(F.lit(x) for pair in getattr(t, name).dtypes if pair[0] in columns for x in pair))
+        parts.append(counted.groupBy("column_name").agg(nulls.alias("nulls"), F.count("v").alias("distinct_values")).withColumn("table_name", F.lit(name)).withColumn("type", F.element_at(kinds, F.col("column_name"))))
+    return parts[0].unionByName(parts[1]).select("table_name", "column_name", "type", "nulls", "distinct_values")
 
 
 @reg(
