@@ -1,8 +1,8 @@
-"""Places and last values within groups of any size, by ranges: no group is sorted in one task.
+"""Places, last values and running sums within groups of any size, by ranges: no group is sorted in one task.
 
 Rows are range-partitioned by group and order, so a hot group lies in many partitions and each
 partition goes on where the one before it ended. Windows run within a partition's part of a group; what a part
-needs of those before it (how many rows, the last value) is a table of one row a part and group.
+needs of those before it (how many rows, the last value, their sums) is a table of one row a part and group.
 """
 
 from __future__ import annotations
@@ -67,3 +67,18 @@ def filled(df: DataFrame, group: str, order: list[str], value: str) -> DataFrame
     carried = split.select("_part", group, before.alias("_carried"))
     joined = ranged.withColumn("_own", own).alias("a").join(carried.alias("b"), _same(["_part", group]), "left")
     return joined.select(*(F.col(f"a.{c}") for c in df.columns), F.coalesce("_own", "_carried").alias("last"))
+
+
+def summed(df: DataFrame, groups: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """``df`` with each of ``values`` added up over the rows of its group at or before its own.
+
+    No two rows of a group are equal in ``order``; nulls of it come first, null values add nothing.
+    """
+    ranged = _ranged(df, groups, order)
+    parts = ranged.groupBy("_part", *groups).agg(*(F.sum(v).alias(v) for v in values))
+    earlier = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("_part", *groups, *(F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"_{v}") for v in values))
+    place = Window.partitionBy("_part", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = ranged.withColumns({v: F.coalesce(F.sum(v).over(place), F.lit(0)) for v in values})
+    joined = own.alias("a").join(offsets.alias("b"), _same(["_part", *groups]))
+    return joined.select(*((F.col(f"a.{c}") + F.col(f"b._{c}")).alias(c) if c in values else F.col(f"a.{c}") for c in df.columns))

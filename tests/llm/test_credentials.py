@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import ast
 import datetime as dt
+import math
 import random
 import string
 
@@ -178,3 +179,62 @@ def test_names_and_open_values_are_read_over_whole_lines():
     assert open_value("x" * 500 + "; password = (") == "password = (" and open_value("passwords: 3") == "" and open_value("total =") == ""
     assert open_value('  - name: "DB_PASSWORD",') == 'name: "DB_PASSWORD",' and open_value("rename: DB_PASSWORD") == "" and open_value("db.secret-key:") == "db.secret-key:"
     assert open_value("") == "" and open_value("=") == "" and open_value("key" + "=" + " " * 400) == "key="
+
+
+def test_model_and_thresholds_come_from_all_labelled_candidates(spark):
+    import numpy as np
+
+    from tessera.llm.credentials import FEATURES, LOOKS, character_counts, fit_logistic, labelled_candidates, line_candidates, surprises, thresholds, unseen_scores
+    from tessera.session import written
+
+    rng = random.Random(8)
+    # more labelled candidates than the 40,000 that a model was once fitted on
+    said = ['token_{i} = "{v}"', 'api_key = "{v}"', 'password = "{v}"', 'password_ref = "{v}"', 'max_tokens = {i}000', 'auth: word{i}word', 'pw = "word-{i}"']
+    files = [(f, "\n".join(rng.choice(said).format(i=i, v=rand(rng, rng.randrange(4, 40))) for i in range(900))) for f in range(60)]
+    f, d, current = frames(spark, files)
+    counts = [(r["first"], r["second"], r["n"]) for r in character_counts(d).collect()]
+    found = written(line_candidates(current, surprises(counts), f), "candidates")
+    rows = labelled_candidates(found).toPandas()
+    assert len(rows) > 45_000 and set(rows["fold"]) == set(range(5))
+
+    def newton(x, y):
+        w = np.zeros(x.shape[1])
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)), x.T @ (p - y) + w)
+        return w
+
+    every, fold = np.stack(rows["x"]), rows["fold"].to_numpy()
+    got = fit_logistic(labelled_candidates(found))
+    least = thresholds(unseen_scores(labelled_candidates(found), got))
+    for kind, (names, use) in enumerate([(FEATURES, np.ones(len(rows), dtype=bool)), (LOOKS, rows["by_name"].to_numpy())]):
+        x, y, k = every[use][:, [FEATURES.index(n) for n in names]], rows["weak"].to_numpy(dtype=float)[use], fold[use]
+        want = np.array([newton(x, y)] + [newton(x[k != i], y[k != i]) for i in range(5)])
+        assert np.abs(got[kind] - want).max() < 1e-6
+        scores = 1 / (1 + np.exp(-(x * want[1 + k]).sum(axis=1)))
+        down = np.argsort(-scores.round(9), kind="stable")
+        last = np.append(np.diff(scores.round(9)[down]) != 0, True)  # of those with the same score
+        right = sorted(scores[down][last & (np.cumsum(y[down]) / np.arange(1, len(y) + 1) >= 0.99)])
+        assert abs(least[kind] - (min(0.9, max(0.5, right[0])) if right else 0.5)) < 1e-6
+    # what comes out has the scores of that model
+    scores = {(r["file_id"], r["line_no"], r["start"]): r["score"] for r in credentials(f, d, current).collect()}
+    x = {(r["file_id"], r["line_no"], r["start"]): r["x"] for r in found.where("weak = 1").limit(300).collect()}
+    assert len(x) == 300 and all(abs(scores[at] - 1 / (1 + math.exp(-float(np.dot(v, got[0][0]))))) < 1e-6 for at, v in x.items())
+
+
+def test_thresholds_count_ties_as_one(spark):
+    from tessera.llm.credentials import thresholds
+
+    rows = [(0, 0.8, 1)] * 99 + [(0, 0.7, 0)] + [(0, 0.7, 1)] * 2 + [(0, 0.6, 1)] * 2 + [(0, 0.6, 0)] * 2 + [(1, 0.95, 1), (1, 0.2, 0)] + [(2, 0.6, 0)] + [(3, 0.9 - i / 1000, 1) for i in range(300)]
+    least = thresholds(spark.createDataFrame(rows, "kind int, score double, weak int"))
+    assert (least[0], least[1], least[2]) == (0.7, 0.9, 0.5) and abs(least[3] - 0.601) < 1e-12
+
+
+def test_a_token_in_parts_is_one():
+    from tessera.llm.credentials import features_of, hot_lines, surprises, weak_label
+
+    line = 'REPO_AUTH = "ghp_IMZBsnhCFM" + "ToJoBqwwodQRZaTGsMwEikhmUk"'
+    (start, end, name, how), *_ = candidates_of_line(line)
+    assert (line[start:end], name, how) == ("ghp_IMZBsnhCFM", "REPO_AUTH", "service") and hot_lines(line)
+    assert weak_label(features_of(line, start, end, name, how, "a.py", "py", surprises([])), how) == 1
+    assert all(how != "service" for line in ('x = "ghp_a" + "b"', 'key = "a" + "b"', 'x = "ghp_IMZBsnhCFM" + tail') for *_, how in candidates_of_line(line))
